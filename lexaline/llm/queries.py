@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaline.llm import bpe, simhash
+from lexaline.llm import bpe, licenses, pii, simhash, toxicity
+from lexaline.llm.storage import materialize
 
-#: Where the vocabulary files of public tokenizers are; parameters of the operators, never copied.
 def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's vocabulary file is; a parameter of the operators, never copied."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -25,6 +26,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(documents(spark, sf_dir).select("doc_id", pii.candidate_spans(F.col("text")).alias("spans")), "pii-candidates")
+    base = F.filter("spans", lambda s: s["kind"] < len(pii.BASE))
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
+    spans = pii.accepted(pii.fit(found), F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(spans).alias("spans"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, toxicity.learning_rows(labels))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.scores(model, F.col("text")).alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(F.col("text"), tokenizer_file("word_bpe_49k.json"))
     return documents(spark, sf_dir).select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
@@ -32,5 +54,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
+    "op3_pii": op3_pii,
+    "op6_toxicity": op6_toxicity,
     "op10_bpe": op10_bpe,
 }
