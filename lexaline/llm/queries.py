@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaline.llm import bpe, licenses, pii, simhash, toxicity
+from lexaline.llm import bpe, decontaminate, licenses, pii, secrets, simhash, sketches, toxicity
 from lexaline.llm.storage import materialize
 
 def tokenizer_file(name: str) -> str:
@@ -38,6 +38,26 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(spans).alias("spans"))
 
 
+def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sketches.fingerprints(documents(spark, sf_dir))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        sketches.fingerprint(F.col("sketch")).alias("fingerprint"),
+        sketches.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        F.size("sketch").cast("long").alias("n_kept"),
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contaminated(documents(spark, sf_dir), benchmark)
+    return found.select("doc_id", F.col("item").alias("item_id"), "n_matched", "n_windows", "share")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -47,6 +67,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(F.col("text"), tokenizer_file("word_bpe_49k.json"))
     return documents(spark, sf_dir).select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
@@ -56,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
     "op3_pii": op3_pii,
+    "op4_sketches": op4_sketches,
+    "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_secrets": op7_secrets,
     "op10_bpe": op10_bpe,
 }
