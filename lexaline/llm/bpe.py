@@ -182,9 +182,16 @@ class WordBpe:
             self.known[piece] = (sum([e[0] for e in entries]), " ".join([e[1] for e in entries]), " ".join([e[2] for e in entries]))
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        self._learn([pieces])
-        return [int(i) for p in pieces for i in self.known[p][1].split()]
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        found = []
+        for group in self._groups(texts):
+            for pieces in group:
+                ids = " ".join([e[1] for p in pieces if (e := self.known[p])[0]])
+                found.append(np.array(ids.split(), np.int32))
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by a space: the file names no decoder."""
@@ -192,14 +199,8 @@ class WordBpe:
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of tokens, digest of the ids, digest of the decoded text) of each text."""
-        found, at = [], 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and size < GROUP_CHARS:
-                group.append(self.pieces(texts[at]))
-                size += len(texts[at])
-                at += 1
-            self._learn(group)
+        found = []
+        for group in self._groups(texts):
             known = self.known
             for pieces in group:
                 entries = [e for p in pieces if (e := known[p])[0]]
@@ -208,6 +209,18 @@ class WordBpe:
                 found.append((sum([e[0] for e in entries]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
         return found
 
+    def _groups(self, texts: list[str]):
+        """The pieces of each text, some texts at a time, once all of them are known."""
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < GROUP_CHARS:
+                group.append(self.pieces(texts[at]))
+                size += len(texts[at])
+                at += 1
+            self._learn(group)
+            yield group
+
 
 _loaded: dict[str, WordBpe] = {}
 
@@ -225,7 +238,7 @@ def token_ids(texts: Column, path: str) -> Column:
     @F.pandas_udf("array<int>")
     def ids(batch: pd.Series) -> pd.Series:
         bpe = tokenizer(path)
-        return pd.Series([bpe.encode(t or "") for t in batch])
+        return pd.Series(bpe.encode_all([t or "" for t in batch]), dtype=object)
 
     return ids(texts)
 

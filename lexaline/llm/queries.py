@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaline.llm import bpe, decontaminate, licenses, pii, secrets, simhash, sketches, toxicity
+from lexaline.llm import bpe, chat, decontaminate, licenses, pii, secrets, simhash, sketches, substrings, toxicity
 from lexaline.llm.storage import materialize
 
 def tokenizer_file(name: str) -> str:
@@ -74,6 +74,20 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    trap = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
+    trap = trap.select(F.lit(-7).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.lit(said).alias("text"))
+    path = tokenizer_file("byte_bpe_50k.json")
+    turns = materialize(chat.format_turns(rows.unionByName(trap), path), "chat-turns")
+    return chat.read_back(turns, path)
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(F.col("text"), tokenizer_file("word_bpe_49k.json"))
     return documents(spark, sf_dir).select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
@@ -87,5 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
+    "op8_chat": op8_chat,
+    "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
 }
