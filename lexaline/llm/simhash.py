@@ -79,7 +79,8 @@ def _bucket_links(radius: int):
         found = []
         for bucket in buckets:
             values = np.asarray(bucket, np.int64)
-            near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+            bits = values.view(np.uint64)  # the count of a negative number would be that of its absolute value
+            near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
             root = np.arange(len(values))
             while True:  # least member reachable inside the bucket
                 least = np.where(near, root[None, :], len(values)).min(axis=1)
