@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexaline.llm.expressions import ascii_lower, let, matches
+from lexaline.llm.expressions import ascii_lower, matches
 
 #: What stands between words once A-Z is in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -131,20 +131,6 @@ def words_text(text: Column) -> Column:
     return F.when(plain == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), plain, F.lit(" ")))
 
 
-def _base(words: Column, phrase: str) -> Column:
-    """Struct (n, first, last) of the places of a phrase: how many, and the words before the first and the last."""
-    n_inner = phrase.count(" ")
-    pieces = F.split(words, f"(?<= ){phrase}(?= )", -1)
-
-    def places(p: Column) -> Column:
-        n = F.size(p) - 1
-        before = F.aggregate(F.slice(p, 1, n), F.lit(0), lambda acc, s: acc + _spaces(s))
-        return F.struct(n.cast("long").alias("n"), (_spaces(F.get(p, F.lit(0))) - 1).cast("long").alias("first"), (before + (n - 1) * n_inner - 1).cast("long").alias("last"))
-
-    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    return F.when(F.contains(words, F.lit(f" {phrase} ")), let(pieces, places)).otherwise(none)
-
-
 def _detections(words: Column) -> Column:
     """Structs (start, -stop, priority, weight, label) of all rules' matches, containing intervals first."""
     schema = "array<struct<label:string,priority:int,weight:double,keyword:string,regex:string>>"
@@ -165,7 +151,7 @@ def _resolved(detections: Column) -> Column:
         grown = [F.when(stays & (d["priority"] <= p), F.greatest(acc[f"e{p}"], stop)).otherwise(acc[f"e{p}"]).alias(f"e{p}") for p in (1, 2, 3)]
         return F.struct(*grown, F.when(stays, F.array_union(acc["labels"], F.array(d["label"]))).otherwise(acc["labels"]).alias("labels"), F.when(stays, F.greatest(acc["weight"], d["weight"])).otherwise(acc["weight"]).alias("weight"), F.when(stays, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
 
-    return F.aggregate(detections, start, step)
+    return F.aggregate(detections, start, step, lambda acc: F.struct(acc["labels"].alias("labels"), acc["weight"].alias("weight"), acc["n"].alias("n")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,33 +161,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     and null ids come back as they are; other columns are ignored. No row leaves its task: there is no shuffle.
     """
 
-    def look(words: Column) -> Column:
-        places = [_base(words, phrase) for phrase, _ in BASE]
-        gated = F.lit(False)
-        for key in GATE:
-            gated = gated | F.contains(words, F.lit(key))
-        nothing = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("weight"), F.lit(0).alias("n"))
-        found = F.when(gated, let(_resolved(_detections(words)), lambda r: F.struct(r["labels"].alias("labels"), r["weight"].alias("weight"), r["n"].alias("n")))).otherwise(nothing)
-        return F.struct(
-            (_spaces(words) - 1).cast("long").alias("n_words"),
-            *[p.alias(f"p{i}") for i, p in enumerate(places)],
-            found.alias("found"),
-        )
-
-    looked = docs.select(F.col(id_col).alias("_id"), let(words_text(F.col(text_col)), look).alias("l"))
-    places = [F.col(f"l.p{i}") for i in range(len(BASE))]
-    base = F.array_compact(F.array(*[F.when(p["n"] > 0, F.lit(label)) for p, (_, label) in zip(places, BASE)]))
-    n_base = places[0]["n"]
-    for p in places[1:]:
-        n_base = n_base + p["n"]
+    # each step names what it reads more than once, which keeps it from being computed twice
+    worded = docs.select(F.col(id_col).alias("_id"), words_text(F.col(text_col)).alias("w"))
+    words = F.col("w")
+    gated = F.lit(False)
+    for key in GATE:
+        gated = gated | F.contains(words, F.lit(key))
+    none = F.array().cast("array<string>")
+    pieces = [F.when(F.contains(words, F.lit(f" {phrase} ")), F.split(words, f"(?<= ){phrase}(?= )", -1)).otherwise(none).alias(f"s{i}") for i, (phrase, _) in enumerate(BASE)]
+    nothing = F.struct(none.alias("labels"), F.lit(0.0).alias("weight"), F.lit(0).alias("n"))
+    looked = worded.select("_id", (_spaces(words) - 1).cast("long").alias("n_words"), *pieces, F.when(gated, _resolved(_detections(words))).otherwise(nothing).alias("found"))
+
+    n = [F.greatest(F.size(f"s{i}") - 1, F.lit(0)).cast("long") for i in range(len(BASE))]
+    first = [_spaces(F.get(f"s{i}", F.lit(0))) - 1 for i in range(len(BASE))]
+    # the spaces before the last place, and those inside the places before it
+    last = [F.when(n[i] > 0, F.aggregate(F.transform(F.slice(f"s{i}", 1, n[i].cast("int")), _spaces), F.lit(0), lambda acc, x: acc + x) + (n[i] - 1) * phrase.count(" ") - 1) for i, (phrase, _) in enumerate(BASE)]
+    base = F.array_compact(F.array(*[F.when(x > 0, F.lit(label)) for x, (_, label) in zip(n, BASE)]))
+    n_base = n[0]
+    for x in n[1:]:
+        n_base = n_base + x
     return looked.select(
         F.col("_id").alias(id_col),
-        F.col("l.n_words").alias("n_words"),
+        "n_words",
         n_base.alias("n_base"),
-        F.least(*[p["first"] for p in places]).alias("first_word"),
-        F.greatest(*[p["last"] for p in places]).alias("last_word"),
+        F.least(*first).cast("long").alias("first_word"),
+        F.greatest(*last).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, F.col("l.found.labels"))), ",").alias("labels"),
-        F.greatest(F.col("l.found.weight"), F.when(n_base > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
-        F.col("l.found.n").cast("long").alias("n_detections"),
+        F.array_join(F.array_sort(F.array_union(base, F.col("found.labels"))), ",").alias("labels"),
+        F.greatest(F.col("found.weight"), F.when(n_base > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
+        F.col("found.n").cast("long").alias("n_detections"),
     )
