@@ -67,10 +67,16 @@ def _windows(words: Column, template: Column, slotted: Column, width: int) -> Co
 def windows(text: Column, widths: list[int]) -> Column:
     """All windows of the text, of each of the ``widths``; null counts as empty."""
 
-    def of(words: Column) -> Column:
-        slotted = F.exists(words, _is_slot)
+    def all_widths(words: Column, slotted: Column) -> Column:
         return let(F.transform(words, _template), lambda t: F.concat(*[_windows(words, t, slotted, w) for w in widths]))
 
+    def of(words: Column) -> Column:
+        named = F.exists(words, lambda w: F.substring(w, 1, 1) == _NAME_MARK)
+        typed = all_widths(words, F.exists(words, _is_slot))
+        # the same with names as plain words: a capital may be all that differs
+        plain = let(F.transform(words, lambda w: F.ltrim(w, F.lit(_NAME_MARK))), lambda p: all_widths(p, F.exists(p, _is_slot)))
+        return F.when(named, F.concat(typed, plain)).otherwise(typed)
+
     return let(tokens(text), of)
 
 
@@ -86,7 +92,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     sized = materialize(items.select("item", "t", F.least(length, F.lit(WIDTH)).alias("width")).where(F.col("width") >= LEAST), "leaks-items")
     widths = sorted(r["width"] for r in sized.select("width").distinct().collect())
     if not widths:
-        return spark.createDataFrame([], docs.select(id_col).schema.add("text_hash", "bigint").add("item", sized.schema["item"].dataType).add("n_matched", "bigint").add("n_windows", "bigint").add("share", "double"))
+        return spark.createDataFrame([], docs.select(id_col).schema.add("text_hash", "long").add("item", sized.schema["item"].dataType).add("n_matched", "long").add("n_windows", "long").add("share", "double"))
     split = None
     for width in widths:
         own = sized.where(F.col("width") == width).select("item", F.explode(windows(F.col("t"), [width])).alias("w"))

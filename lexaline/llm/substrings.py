@@ -159,6 +159,9 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             meta = tie << _TIE | place << _AT | left << _LEFT | right
             h, c = h.view(np.int64), c.view(np.int64)
             order = np.lexsort((meta, doc, c, h))
+            # pieces of a text overlap and rows may be repeated: a place counts once
+            once = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (meta[order][1:] != meta[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
+            order = order[once]
             same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])))
             keep = order[~same]
             yield pa.record_batch([h[keep], c[keep], doc[keep], meta[keep], np.zeros(len(keep), np.int32)], schema=_PLACES)
@@ -183,7 +186,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchor hash that has several contexts (h set; start is the anchor, stop its left and right bytes)."""
     held: list[np.ndarray] | None = None
     crowded: int | None = None  # an anchor hash whose first MAX_CONTEXTS contexts have gone out already
-    before: tuple[int, int] | None = None  # the (h, c) that ended the rows so far
+    before: tuple = ()  # the (h, c, id, meta) that ended the rows so far
 
     def settle(h, doc, meta, end: bool):
         """Rows for the places (first of their contexts) whose groups are complete; the rest is held."""
@@ -219,9 +222,10 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(keep):
             continue
         h, c, doc, meta = h[keep], c[keep], doc[keep], meta[keep]
-        fresh = np.concatenate(([before != (int(h[0]), int(c[0]))], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-        before = (int(h[-1]), int(c[-1]))
-        gone = np.flatnonzero(~fresh)
+        fresh = np.concatenate(([before[:2] != (int(h[0]), int(c[0]))], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+        twice = np.concatenate(([before == (int(h[0]), int(c[0]), int(doc[0]), int(meta[0]))], (doc[1:] == doc[:-1]) & (meta[1:] == meta[:-1])))
+        before = (int(h[-1]), int(c[-1]), int(doc[-1]), int(meta[-1]))
+        gone = np.flatnonzero(~fresh & ~twice)
         if len(gone):
             tie, at, left, right = _unpack(meta[gone])
             yield pa.record_batch([doc[gone], tie.astype(np.int32), (at - left).astype(np.int32), (at + ANCHOR + right).astype(np.int32), pa.nulls(len(gone), pa.int64()), np.zeros(len(gone), bool)], schema=_FOUND)
@@ -257,6 +261,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = (doc, tie, at - a)
                 key = (a, context[left - a : left - a + LENGTH])
                 first = strings.get(key)
+                if place == first:
+                    continue
                 if first is None or place < first:
                     strings[key] = place
                     place = first
@@ -344,7 +350,7 @@ def sort_suffixes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, group:
 def covered_strings(contexts: list[bytes], left: np.ndarray, group: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index, offset before the anchor) of the strings around anchors that an earlier context of the group has too.
 
-    ``group`` is ascending; ``rank`` orders the places, least first.
+    ``group`` is ascending; ``rank`` orders the places, least first, and is the same for the same place.
     """
     lengths = np.array([len(c) for c in contexts])
     right = lengths - left - ANCHOR
@@ -364,7 +370,9 @@ def covered_strings(contexts: list[bytes], left: np.ndarray, group: np.ndarray,
         class_r[order_r] = np.cumsum(shared_r < LENGTH - a)
         by = fits[np.lexsort((rank[fits], class_r[fits], class_l[fits], group[fits]))]
         same = (group[by][1:] == group[by][:-1]) & (class_l[by][1:] == class_l[by][:-1]) & (class_r[by][1:] == class_r[by][:-1])
-        gone = by[1:][same]
+        opens = np.concatenate(([True], ~same))
+        earliest = rank[by][np.flatnonzero(opens)][np.cumsum(opens) - 1]
+        gone = by[rank[by] > earliest]
         if len(gone):
             yield gone, np.full(len(gone), a)
 
@@ -377,14 +385,15 @@ SORTED_TOGETHER = 1 << 15
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered runs, from contexts and single strings sorted by (h, w, id, tie, at)."""
     held: list[pa.RecordBatch] = []
-    before: tuple | None = None
+    before: tuple = ()
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         h, doc, tie, at, left = (table.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
         bounds = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         group = np.repeat(np.arange(len(bounds)), np.diff(np.append(bounds, len(h))))
+        order = np.lexsort((at, tie, doc))
         rank = np.empty(len(h), np.int64)
-        rank[np.lexsort((at, tie, doc))] = np.arange(len(h))
+        rank[order] = np.cumsum(np.concatenate(([0], (doc[order][1:] != doc[order][:-1]) | (tie[order][1:] != tie[order][:-1]) | (at[order][1:] != at[order][:-1]))))
         found = list(covered_strings(table.column(6).to_pylist(), left.astype(np.int64), group, rank))
         if found:
             index = np.concatenate([f[0] for f in found])
@@ -402,10 +411,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([over.column(2), over.column(3), over.column(4), start + np.int32(LENGTH)], schema=_COVERED)
         single = batch.filter(pa.array(~none & ~whole))
         if single.num_rows:
-            h, w, a = (single.column(k).to_numpy() for k in (0, 1, 5))
-            fresh = np.concatenate(([before != (h[0], w[0])], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-            before = (h[-1], w[-1])
-            gone = single.filter(pa.array(~fresh))
+            h, w, doc, tie, at = (single.column(k).to_numpy() for k in range(5))
+            fresh = np.concatenate(([before[:2] != (h[0], w[0])], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
+            twice = np.concatenate(([before == (h[0], w[0], doc[0], tie[0], at[0])], (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (at[1:] == at[:-1])))
+            before = (h[-1], w[-1], doc[-1], tie[-1], at[-1])
+            gone = single.filter(pa.array(~fresh & ~twice))
             if gone.num_rows:
                 start = gone.column(4).to_numpy()
                 yield pa.record_batch([gone.column(2), gone.column(3), gone.column(4), start + np.int32(LENGTH)], schema=_COVERED)
