@@ -42,8 +42,11 @@ def fill_brand(cases: DataFrame, brands: DataFrame, id_col: str = "product_uid",
     such run where several are as long. Compared without case, by a join on the runs, not in a loop over brands."""
     known = brands.select(F.lower("brand").alias("gram")).where("gram is not null").distinct()
     missing = cases.where(F.col(brand_col).isNull()).select(id_col, word_tokens(F.col(title_col)).alias("w"))
-    sized = [F.transform(ngrams(F.col("w"), n), lambda g, i, n=n: F.struct(F.lit(n).alias("n"), i.alias("at"), g.alias("gram"))) for n in (1, 2, 3)]
-    grams = missing.select(id_col, F.explode(F.concat(*sized)).alias("g")).select(id_col, "g.*")
+
+    def placed(n: int) -> Column:
+        return F.transform(ngrams(F.col("w"), n), lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("at"), g.alias("gram")))
+
+    grams = missing.select(id_col, F.explode(F.concat(*[placed(n) for n in (1, 2, 3)])).alias("g")).select(id_col, "g.*")
     found = grams.join(known, "gram").groupBy(id_col).agg(F.max_by("gram", F.struct("n", "at")).alias("_found"))
     return cases.join(found, id_col, "left").withColumn(brand_col, F.coalesce(brand_col, "_found")).drop("_found")
 

@@ -18,7 +18,8 @@ def wtok(x: str) -> str:
 
 
 def ngram(words: str, n: int) -> str:
-    return f"list_transform(range(1, greatest(len({words}) - {n} + 2, 1)), lambda gi: array_to_string(({words})[gi:gi + {n} - 1], ' '))"
+    parts = ", ".join(f"({words})[{i + 1}:{i - n if i < n - 1 else ''}]" for i in range(n))
+    return f"list_transform(list_zip({parts}), lambda p: {chr(32).join(f'p[{i + 1}]' + (f' {chr(124) * 2} {chr(39)} {chr(39)} {chr(124) * 2}' if i < n - 1 else '') for i in range(n))})"
 
 
 def bi(x: str) -> str:
@@ -78,19 +79,15 @@ def stats(a: str, b: str, label: str) -> dict[str, str]:
     return {f"{m}_of_{label}": r6(f"{stat(places(a, b), m)} / (len({tok(b)}) + 1.0)") for m in ("min", "max", "median", "mean", "std")}
 
 
-def sets(a: str, b: str, n: int) -> tuple[str, str, str]:
-    x, y = (f"list_distinct({tok(c) if n == 1 else bi(c)})" for c in (a, b))
-    return x, y, f"len(list_intersect({x}, {y}))"
-
-
-def jaccard(a: str, b: str, n: int = 1) -> str:
-    x, y, both = sets(a, b, n)
+def jaccard(a: str, b: str) -> str:
+    x, y = (f"list_distinct({tok(c)})" for c in (a, b))
+    both = f"len(list_intersect({x}, {y}))"
     return r6(f"coalesce({both} / nullif(len({x}) + len({y}) - {both}, 0), 0.0)")
 
 
-def dice(a: str, b: str, n: int = 1) -> str:
-    x, y, both = sets(a, b, n)
-    return r6(f"coalesce(2.0 * {both} / nullif(len({x}) + len({y}), 0), 0.0)")
+def dice(a: str, b: str) -> str:
+    x, y = (f"list_distinct({tok(c)})" for c in (a, b))
+    return r6(f"coalesce(2.0 * len(list_intersect({x}, {y})) / nullif(len({x}) + len({y}), 0), 0.0)")
 
 
 def er(x: str) -> str:
@@ -163,7 +160,9 @@ cases("tm_common_bigram", {c: f"CAST(len(list_filter({bi(a)}, lambda g: contains
 cases("tm_common_ordered", {"word_in_title_ordered": ordered("q", "t"), "title_in_description_ordered": ordered("t", "d")})
 cases("tm_positions_stats", stats("q", "t", "QinT") | stats("q", "d", "QinD") | stats("t", "q", "QfromT"))
 cases("tm_jaccard_dice_uni", {f"{n}_{f.__name__}": f(a, b) for n, a, b in (("qt", "q", "t"), ("qd", "q", "d"), ("td", "t", "d")) for f in (jaccard, dice)})
-cases("tm_jaccard_dice_bi", {f"{n}_{f.__name__}": f(a, b, 2) for n, a, b in (("qt", "q", "t"), ("td", "t", "d")) for f in (jaccard, dice)})
+_WORDS = "AS MATERIALIZED (SELECT row_id, " + ", ".join(f"{wtok(c)} AS {c}w" for c in "qtd") + " FROM cases)"
+_SETS = "AS MATERIALIZED (SELECT row_id, " + ", ".join(f"list_distinct({ngram(c + 'w', 2)}) AS {c}" for c in "qtd") + " FROM words)"
+ORACLES["tm_jaccard_dice_bi"] = f"WITH {CASES}, words {_WORDS}, sets {_SETS} SELECT row_id, " + ", ".join(f"round(coalesce(len(list_intersect({a}, {b})) / nullif(len({a}) + len({b}) - len(list_intersect({a}, {b})), 0), 0.0), 6) AS {a}{b}_jaccard, round(coalesce(2.0 * len(list_intersect({a}, {b})) / nullif(len({a}) + len({b}), 0), 0.0), 6) AS {a}{b}_dice" for a, b in (("q", "t"), ("t", "d"))) + " FROM sets"
 cases("tm_er_words", {"er_in_query": f"CAST(len({er('q')}) AS INTEGER)", "er_in_title": f"CAST(len({er('t')}) AS INTEGER)", "er_in_description": f"CAST(len({er('d')}) AS INTEGER)", "er_position": f"CAST(coalesce(nullif(list_position({tok('t')}, ({er('d')})[1]), 0) - 1, -1) AS INTEGER)"})
 cases("tm_lengths", {"len_of_query": f"CAST(len({tok('q')}) AS INTEGER)", "len_of_title": f"CAST(len({tok('t')}) AS INTEGER)", "len_of_description": f"CAST(len({tok('d')}) AS INTEGER)", "len_of_brand": f"CAST(len({tok('b')}) AS INTEGER)", "chars_of_query": "CAST(len(q) AS INTEGER)", "chars_of_description": "CAST(len(d) AS INTEGER)"})
 cases("tm_ratios", {"ratio_title": r6(f"{common('q', 't')} / (len({tok('q')}) + 1.0)"), "ratio_description": r6(f"{common('q', 'd')} / (len({tok('q')}) + 1.0)"), "ratio_safe": r6(f"coalesce(CAST({common('q', 't')} AS DOUBLE) / nullif({common('q', 'd')}, 0), 0.0)")})
@@ -220,17 +219,16 @@ ORACLES["agg_classification_metrics"] = f"""WITH {PREDS}, s AS (SELECT p2 - 24.9
 SELECT n, round((n - fp - fn) / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1, round(e, 6) AS rmse FROM c"""
 
 
-def grams(x: str, longest: int = 2) -> str:
-    w = tok(f"lower({x})")
-    return w if longest == 1 else f"list_concat({w}, {ngram(w, 2)})"
+def grams(longest: int = 2) -> str:
+    return "w" if longest == 1 else f"list_concat(w, {ngram('w', 2)})"
 
 
 def idf(source: str, text: str, longest: int = 2, least: int = 2, name: str = "idf") -> str:
-    return f"{name}_t AS (SELECT unnest(list_distinct({grams(text, longest)})) AS term FROM {source}), {name} AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM {source})) / (1.0 + count(*))) + 1 AS idf FROM {name}_t GROUP BY 1 HAVING count(*) >= {least})"
+    return f"{name}_w AS MATERIALIZED (SELECT {tok(f'lower({text})')} AS w FROM {source}), {name}_t AS (SELECT unnest(list_distinct({grams(longest)})) AS term FROM {name}_w), {name} AS MATERIALIZED (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM {source})) / (1.0 + count(*))) + 1 AS idf FROM {name}_t GROUP BY 1 HAVING count(*) >= {least})"
 
 
 def tfidf(x: str, name: str) -> str:
-    return f"{name}_g AS (SELECT row_id, unnest({grams(x)}) AS term FROM cases), {name}_f AS (SELECT row_id, term, count(*) * any_value(idf) AS w FROM {name}_g JOIN idf USING (term) GROUP BY 1, 2), {name} AS (SELECT row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS w FROM {name}_f)"
+    return f"{name}_w AS MATERIALIZED (SELECT row_id, {tok(f'lower({x})')} AS w FROM cases), {name}_g AS (SELECT row_id, unnest({grams()}) AS term FROM {name}_w), {name}_f AS (SELECT row_id, term, count(*) * any_value(idf) AS w FROM {name}_g JOIN idf USING (term) GROUP BY 1, 2), {name} AS (SELECT row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS w FROM {name}_f)"
 
 
 ORACLES["co_df_idf"] = f"WITH {idf('documents', 'text')} SELECT term, df, round(idf, 6) AS idf FROM idf"
