@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexaline.functions.text import bigrams, nouns, tokens
+from lexaline.functions.text import bigrams, let, nouns, tokens
 
 
 def phrase_count(phrase: Column, text: Column) -> Column:
@@ -15,8 +15,9 @@ def phrase_count(phrase: Column, text: Column) -> Column:
 
 
 def _hits(words: Column, text: Column, exact: bool) -> Column:
-    found = tokens(text)
-    return F.filter(words, lambda w: F.array_contains(found, w) if exact else F.contains(text, w))
+    if exact:
+        return let(tokens(text), lambda found: F.filter(words, lambda w: F.array_contains(found, w)))
+    return F.filter(words, lambda w: F.contains(text, w))
 
 
 def common_count(a: Column, b: Column, exact: bool = False) -> Column:
@@ -26,21 +27,23 @@ def common_count(a: Column, b: Column, exact: bool = False) -> Column:
 
 def common_bigrams(a: Column, b: Column) -> Column:
     """Bigrams of a, repeats included, that occur in b anywhere."""
-    return F.size(F.filter(bigrams(a), lambda w: F.contains(F.lower(b), w)))
+    return let(F.lower(b), lambda low: F.size(F.filter(bigrams(a), lambda w: F.contains(low, w))))
 
 
 def common_weighted(a: Column, b: Column) -> Column:
     """Sum over the tokens of a in b of 1e6 to the power of their place, so that later words dominate."""
-    words = tokens(a)
-    parts = F.transform(words, lambda w, i: F.when(F.contains(b, w), F.pow(F.lit(1e6), (i + 1) / F.size(words))).otherwise(0.0))
+    parts = let(tokens(a), lambda words: F.transform(words, lambda w, i: F.when(F.contains(b, w), F.pow(F.lit(1e6), (i + 1) / F.size(words))).otherwise(0.0)))
     return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def edit_bonus(a: Column, b: Column) -> Column:
     """0.5 if some token of a with over three characters is within one edit of at least two tokens of b."""
-    others = tokens(b)
-    close = lambda w: F.size(F.filter(others, lambda o: (F.abs(F.length(w) - F.length(o)) < 2) & (F.levenshtein(w, o) < 2))) >= 2
-    return F.when(F.exists(tokens(a), lambda w: (F.length(w) > 3) & close(w)), F.lit(0.5)).otherwise(F.lit(0.0))
+
+    def close(w: Column, others: Column) -> Column:
+        return F.size(F.filter(others, lambda o: (F.abs(F.length(w) - F.length(o)) < 2) & (F.levenshtein(w, o) < 2))) >= 2
+
+    some = let(tokens(b), lambda others: F.exists(tokens(a), lambda w: (F.length(w) > 3) & close(w, others)))
+    return F.when(some, F.lit(0.5)).otherwise(F.lit(0.0))
 
 
 def common_ordered(a: Column, b: Column) -> Column:
@@ -57,8 +60,7 @@ def common_ordered(a: Column, b: Column) -> Column:
 
 def positions(a: Column, b: Column, exact: bool = False) -> Column:
     """1-based places of the tokens of b that contain (or equal) a token of a."""
-    words = tokens(a)
-    placed = F.transform(tokens(b), lambda t, i: F.when(F.exists(words, lambda w: (t == w) if exact else F.contains(t, w)), i + 1))
+    placed = let(tokens(a), lambda words: F.transform(tokens(b), lambda t, i: F.when(F.exists(words, lambda w: (t == w) if exact else F.contains(t, w)), i + 1)))
     return F.filter(placed, lambda x: x.isNotNull())
 
 
@@ -90,7 +92,7 @@ def measure_count(measured: Column, text: Column) -> Column:
 def pair_grams(a: Column, b: Column, n: int, m: int) -> Column:
     """All pairs of an n-gram of a and an m-gram of b, joined by an underscore."""
     x, y = (tokens(c) if k == 1 else F.transform(bigrams(c), lambda g: F.replace(g, F.lit(" "), F.lit("_"))) for c, k in ((a, n), (b, m)))
-    return F.flatten(F.transform(x, lambda v: F.transform(y, lambda w: F.concat_ws("_", v, w))))
+    return let(y, lambda ys: F.flatten(F.transform(x, lambda v: F.transform(ys, lambda w: F.concat_ws("_", v, w)))))
 
 
 def noun_count(text: Column) -> Column:
@@ -99,8 +101,7 @@ def noun_count(text: Column) -> Column:
 
 def noun_common(a: Column, b: Column) -> Column:
     """Tokens of a, repeats included, that are nouns of b."""
-    found = nouns(b)
-    return F.size(F.filter(tokens(a), lambda w: F.array_contains(found, w)))
+    return let(nouns(b), lambda found: F.size(F.filter(tokens(a), lambda w: F.array_contains(found, w))))
 
 
 def noun_ordered(a: Column, b: Column) -> Column:
@@ -122,20 +123,20 @@ def last_nouns(a: Column, b: Column, k: int) -> Column:
 
 def list_stat(values: Column, method: str) -> Column:
     """max, min, mean, median or std (of a sample) of an array; 0 for an empty one, and std 0 for a single value."""
-    doubles = F.transform(values, lambda x: x.cast("double"))
-    n = F.size(values)
-    mean = F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(n, F.lit(0))
-    if method in ("max", "min"):
-        out = (F.array_max if method == "max" else F.array_min)(doubles)
-    elif method == "mean":
-        out = mean
-    elif method == "median":
-        ordered = F.array_sort(doubles)
-        out = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-    else:
-        squares = F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-        out = F.sqrt(F.try_divide(squares, n - 1))
-    return F.coalesce(out, F.lit(0.0))
+
+    def stat(doubles: Column) -> Column:
+        n = F.size(doubles)
+        mean = F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(n, F.lit(0))
+        if method in ("max", "min"):
+            return (F.array_max if method == "max" else F.array_min)(doubles)
+        if method == "mean":
+            return mean
+        if method == "median":
+            return let(F.array_sort(doubles), lambda d: (F.get(d, F.floor((n - 1) / 2).cast("int")) + F.get(d, F.floor(n / 2).cast("int"))) / 2)
+        squares = let(mean, lambda m: F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)))
+        return F.sqrt(F.try_divide(squares, n - 1))
+
+    return F.coalesce(let(F.transform(values, lambda x: x.cast("double")), stat), F.lit(0.0))
 
 
 def safe_ratio(x: Column, y: Column) -> Column:

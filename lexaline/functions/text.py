@@ -5,6 +5,7 @@ The normaliser is a table of steps that is folded into one expression; the same
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -100,6 +101,11 @@ def apply_steps(text: Column, steps: list[Step]) -> Column:
     return text
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once for each row: inside a lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Tokens between white space; an empty array for null and blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
@@ -166,8 +172,12 @@ def word_tokens(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words, joined by a space."""
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    def runs(w: Column) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return let(words, runs)
 
 
 def bigrams(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexaline.functions.text import ngrams, tokens
+from lexaline.functions.text import let, ngrams, nouns, tokens
 
 #: Terms up to which a frequency table is broadcast (some 50 bytes each); beyond, the join is shuffled.
 BROADCAST_TERMS = 200_000
@@ -13,8 +13,7 @@ BROADCAST_TERMS = 200_000
 
 def grams(text: Column, longest: int = 2) -> Column:
     """All runs of 1 to ``longest`` lower-case tokens."""
-    words = tokens(F.lower(text))
-    return F.concat(*[ngrams(words, n) for n in range(1, longest + 1)])
+    return let(tokens(F.lower(text)), lambda words: F.concat(*[ngrams(words, n) for n in range(1, longest + 1)]))
 
 
 def idf(docs: DataFrame, text: str, longest: int = 2, min_df: int = 2) -> DataFrame:
@@ -41,26 +40,23 @@ def cosine_distance(a: DataFrame, b: DataFrame, key: str, keys: DataFrame) -> Da
 def idf_sum(rows: DataFrame, key: str, a: str, b: str, weights: DataFrame, exact: bool = False) -> DataFrame:
     """(key, v): sum of idf of the tokens of a that occur in b, over the number of tokens of a plus one."""
     words = tokens(F.col(a))
-    found = tokens(F.col(b))
-    hits = F.filter(words, lambda w: F.array_contains(found, w) if exact else F.contains(F.col(b), w))
+    if exact:
+        hits = let(tokens(F.col(b)), lambda found: F.filter(words, lambda w: F.array_contains(found, w)))
+    else:
+        hits = F.filter(words, lambda w: F.contains(F.col(b), w))
     sized = rows.select(key, F.size(words).alias("n"), F.explode_outer(hits).alias("term"))
     return sized.join(weights.select("term", "idf"), "term", "left").groupBy(key).agg((F.coalesce(F.sum("idf"), F.lit(0.0)) / (F.max("n") + 1.0)).alias("v"))
 
 
 def noun_idf_sum(rows: DataFrame, key: str, a: str, b: str, weights: DataFrame) -> DataFrame:
     """(key, v): sum of idf of the tokens of a that are nouns of b, over the number of nouns of a plus one."""
-    from lexaline.functions.text import nouns
-
-    of = nouns(F.col(b))
-    hits = F.filter(tokens(F.col(a)), lambda w: F.array_contains(of, w))
+    hits = let(nouns(F.col(b)), lambda of: F.filter(tokens(F.col(a)), lambda w: F.array_contains(of, w)))
     sized = rows.select(key, F.size(nouns(F.col(a))).alias("n"), F.explode_outer(hits).alias("term"))
     return sized.join(weights.select("term", "idf"), "term", "left").groupBy(key).agg((F.coalesce(F.sum("idf"), F.lit(0.0)) / (F.max("n") + 1.0)).alias("v"))
 
 
 def top_noun_matches(rows: DataFrame, key: str, a: str, b: str, weights: DataFrame, k: int) -> DataFrame:
     """(key, v): how many of the k nouns of b with the greatest idf occur in a; ties by word."""
-    from lexaline.functions.text import nouns
-
     ranked = rows.select(key, a, F.explode_outer(F.array_distinct(nouns(F.col(b)))).alias("term")).join(weights.select("term", "idf"), "term", "left")
     best = ranked.groupBy(key, a).agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct((-F.coalesce("idf", F.lit(0.0))).alias("o"), "term")))), 1, k).alias("top"))
     return best.select(key, F.size(F.filter("top", lambda x: F.contains(F.col(a), x["term"]))).alias("v"))
