@@ -277,3 +277,4 @@ ORACLES["ml_leaf_weight_newton"] = "SELECT l_linenumber, round(sum(CASE WHEN l_t
 ORACLES["ens_average"] = f"WITH {PREDS} SELECT l_orderkey, l_linenumber, round((p1 + p2 + p3) / 3, 6) AS pred FROM preds"
 ORACLES["ens_gram"] = f"WITH {PREDS} SELECT " + ", ".join(f"round(sum({a} * {b}), 2) AS {a}_{b}" for a, b in (("p1", "p1"), ("p1", "p2"), ("p2", "p2"), ("p2", "p3"), ("p3", "y"), ("p1", "y"))) + " FROM preds"
 ORACLES["ens_greedy_step"] = f"WITH {PREDS}, t AS (SELECT 'p1' AS trial, p1 AS p, y FROM preds UNION ALL SELECT 'p2', p2, y FROM preds UNION ALL SELECT 'p3', p3, y FROM preds) SELECT trial, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse FROM t GROUP BY 1 ORDER BY 2, 1 LIMIT 1"
+ORACLES["st_history"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2"

@@ -417,3 +417,99 @@ def features_row_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All registered row features of every search case."""
     cases = registry.raw_cases(S.search_cases(spark, sf_dir))
     return registry.with_features(cases, registry.REGISTRY).select("row_id", *sorted(registry.REGISTRY))
+
+
+# ---- fitted models: no SQL
+
+
+NUMERIC = ["word_in_title", "word_in_description", "len_of_title", "len_of_description", "ratio_title", "query_title_jaccard_1", "noun_of_title", "chars_of_query"]
+
+
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = registry.raw_cases(S.search_cases(spark, sf_dir))
+    return registry.with_features(cases, NUMERIC).select("row_id", "relevance", *NUMERIC).persist()
+
+
+def _model(family: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from lexaline.models import learners
+
+        rows = _model_rows(spark, sf_dir)
+        return learners.predict(learners.fit(family, rows, NUMERIC, "relevance"), rows, NUMERIC)
+
+    return run
+
+
+QUERIES |= {f"ml_{family}": _model(family) for family in ("forest", "extra", "boosted", "ridge", "linear", "lasso")}
+
+
+@query("ml_oof")
+def ml_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.models import learners
+
+    return learners.out_of_fold("ridge", _model_rows(spark, sf_dir), NUMERIC, "relevance")
+
+
+@query("ml_tuning")
+def ml_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.models import learners
+
+    trials = learners.search("ridge", _model_rows(spark, sf_dir), NUMERIC, "relevance", {"regParam": [0.01, 0.1, 1.0]}, 3, subset=0.8)
+    return spark.createDataFrame([(t["loss"], str(t["params"]), t["features"]) for t in trials], "loss double, params string, features array<string>")
+
+
+@query("ml_stacking")
+def ml_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.models import learners
+
+    rows = _model_rows(spark, sf_dir)
+    level_one = {f: learners.out_of_fold(f, rows, NUMERIC, "relevance") for f in ("ridge", "linear")}
+    truth = rows.where("relevance is not null").select("row_id", F.col("relevance").alias("truth"))
+    return learners.stacked(level_one, truth)[1]
+
+
+@query("ml_ordinal")
+def ml_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.models import learners
+
+    rows = _model_rows(spark, sf_dir)
+    return learners.ordinal(rows, rows, NUMERIC, "relevance")
+
+
+@query("ml_classes")
+def ml_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.models import learners
+
+    rows = _model_rows(spark, sf_dir)
+    return learners.classes(rows, rows, NUMERIC, "relevance")
+
+
+@query("ml_greedy_forest")
+def ml_greedy_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.models import greedy_forest
+
+    rows = _model_rows(spark, sf_dir)
+    return rows.select("row_id", greedy_forest.fit(rows, NUMERIC, "relevance", max_leaves=4).predict().alias("pred"))
+
+
+@query("co_svd")
+def co_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.operators import vectors as V
+
+    return V.svd(V.tfidf_vectors(S.search_cases(spark, sf_dir), "row_id", "description", 1), "row_id", 10)
+
+
+@query("co_plane")
+def co_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.operators import vectors as V
+
+    e = S.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return V.plane(e, "vec_id", "v")
+
+
+@query("st_history")
+def st_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.streaming.history import running_history
+
+    out = running_history(S.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "value", "ts")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", r6(F.col("mean")).alias("mean"))
