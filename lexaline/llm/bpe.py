@@ -11,19 +11,24 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of more symbols than this are merged one by one with a heap.
 LONG_WORD = 200
 #: Words whose encoding a worker remembers at most; then it forgets all and starts again.
-CACHE = 700_000
+CACHE = 250_000
 #: Characters of text whose new words are merged together.
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 1_000_000
+#: Rows with token ids that leave a worker at a time.
+ROWS_OUT = 500
 
 RESULT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -232,26 +237,27 @@ def tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def token_ids(texts: Column, path: str) -> Column:
-    """Array of token ids of every text; null counts as empty."""
-
-    @F.pandas_udf("array<int>")
-    def ids(batch: pd.Series) -> pd.Series:
-        bpe = tokenizer(path)
-        return pd.Series(bpe.encode_all([t or "" for t in batch]), dtype=object)
-
-    return ids(texts)
+def encoded(docs: DataFrame, keep: list[str], path: str, text_col: str = "text") -> DataFrame:
+    """Rows (keep, n_tokens, input_ids, decoded): token ids of every text and what they decode to.
 
+    Null and empty texts have no tokens. Batches leave ``ROWS_OUT`` rows at a time, which bounds a worker's memory.
+    """
+    fields = [docs.schema[c] for c in keep]
+    schema = StructType([*fields, *StructType.fromDDL("n_tokens bigint, input_ids array<int>, decoded string").fields])
 
-def decoded(ids: Column, path: str) -> Column:
-    """Text of every array of token ids; null counts as empty."""
-
-    @F.pandas_udf("string")
-    def texts(batch: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        return pd.Series([bpe.decode(list(i) if i is not None else []) for i in batch])
-
-    return texts(ids)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(at, ROWS_OUT)
+                ids = bpe.encode_all([t or "" for t in part.column(len(keep)).to_pylist()])
+                sizes = np.array([len(i) for i in ids], np.int64)
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                decoded = pa.array([bpe.decode(i.tolist()) for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(sizes), lists, decoded], names=schema.names)
+
+    return docs.select(*keep, text_col).mapInArrow(run, schema)
 
 
 def round_trip(texts: Column, path: str) -> Column:

@@ -475,8 +475,8 @@ def test_bpe_equals_the_library():
 def test_bpe_columns(spark):
     path = queries.tokenizer_file("word_bpe_49k.json")
     docs = table(spark, [(1, "Hello, world"), (2, None), (3, ""), (3, "")])
-    rows = docs.select("doc_id", bpe.token_ids(F.col("text"), path).alias("ids")).withColumn("text", bpe.decoded(F.col("ids"), path)).orderBy("doc_id").collect()
-    assert rows[0]["text"] == "hello</w> ,</w> world</w>" and [r["ids"] for r in rows[1:]] == [[], [], []]
+    rows = bpe.encoded(docs, ["doc_id", "spans"], path).orderBy("doc_id").collect()
+    assert rows[0]["decoded"] == "hello</w> ,</w> world</w>" and [r["input_ids"] for r in rows[1:]] == [[], [], []]
     assert docs.select(bpe.round_trip(F.col("text"), path).alias("r")).where("r.n_tokens = 0").count() == 3
 
 
