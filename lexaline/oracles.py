@@ -169,7 +169,6 @@ cases("tm_ratios", {"ratio_title": r6(f"{common('q', 't')} / (len({tok('q')}) +
 for _n in (1, 2):
     for _m in (1, 2):
         cases(f"tm_cooccur_{_n}{_m}", {"pairs": pairs("q", "t", _n, _m)})
-cases("tm_editdist_bonus", {c: f"CASE WHEN len(list_filter({tok('q')}, lambda w: len(w) > 3 AND len(list_filter({tok(x)}, lambda o: abs(len(w) - len(o)) < 2 AND levenshtein(w, o) < 2)) >= 2)) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END" for c, x in (("bonus_title", "t"), ("bonus_description", "d"))})
 cases("tx_stopwords", {"title": f"array_to_string(list_filter({tok('t')}, {KEEP}), ' ')", "description_len": f"CAST(len(list_filter({tok('d')}, {KEEP})) AS INTEGER)"})
 cases("tx_meaningful", {c: f"len(list_filter({tok(x)}, lambda w: len(w) > 2 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains({STOP}, w))) > 0" for c, x in (("query_ok", "q"), ("title_ok", "t"))})
 cases("tx_ngrams_1_3", {"bi": f"array_to_string({bi('t')}, ',')", "tri": f"array_to_string({ngram(wtok('t'), 3)}, ',')"})
