@@ -256,6 +256,7 @@ def encoded(docs: DataFrame, keep: list[str], path: str, text_col: str = "text")
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 decoded = pa.array([bpe.decode(i.tolist()) for i in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(sizes), lists, decoded], names=schema.names)
+        bpe.known.clear()  # the worker lives on, for other stages
 
     return docs.select(*keep, text_col).mapInArrow(run, schema)
 
