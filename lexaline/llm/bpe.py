@@ -247,6 +247,7 @@ def encoded(docs: DataFrame, keep: list[str], path: str, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
+        batch = part = ids = sizes = offsets = lists = decoded = None
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
@@ -256,7 +257,10 @@ def encoded(docs: DataFrame, keep: list[str], path: str, text_col: str = "text")
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 decoded = pa.array([bpe.decode(i.tolist()) for i in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(sizes), lists, decoded], names=schema.names)
-        bpe.known.clear()  # the worker lives on, for other stages
+        # the worker lives on, for other stages
+        bpe.known.clear()
+        del batch, part, ids, sizes, offsets, lists, decoded
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, text_col).mapInArrow(run, schema)
 
