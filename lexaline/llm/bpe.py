@@ -24,11 +24,11 @@ from pyspark.sql.types import StructType
 #: Words of more symbols than this are merged one by one with a heap.
 LONG_WORD = 200
 #: Words whose encoding a worker remembers at most; then it forgets all and starts again.
-CACHE = 250_000
+CACHE = 100_000
 #: Characters of text whose new words are merged together.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 300_000
 #: Rows with token ids that leave a worker at a time.
-ROWS_OUT = 500
+ROWS_OUT = 100
 
 RESULT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
