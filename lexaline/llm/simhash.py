@@ -10,6 +10,8 @@ at most 2^8 different fingerprints, so no bucket is compared in pairs beyond ``m
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -149,13 +151,13 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document left of each near-duplicate group: the one with the least id.
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_groups) -> DataFrame:
+    """``docs`` with one document left of each near-duplicate group that ``find`` gives: the one with the least id.
 
     Of repeated rows with that id and one text, one stays. Rows with a null id stay only where their whole group has
     null ids, one for each different text.
     """
-    groups = near_groups(docs, id_col, text_col)
+    groups = find(docs, id_col, text_col)
     keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
     from pyspark.sql import Window

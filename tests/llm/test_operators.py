@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexaline.llm import bpe, chat, decontaminate, licenses, pii, queries, secrets, simhash, sketches, substrings, toxicity
+from lexaline.llm import bpe, chat, decontaminate, licenses, near_copies, pii, queries, secrets, simhash, sketches, substrings, toxicity
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, spans string, id long, h long"
 
@@ -145,6 +145,50 @@ def test_keep_one_per_group(spark):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
 
 
+# ---- near copies
+
+
+def slow_copies(rows):
+    """Root of each row's shingle set, by comparing all pairs of different sets."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.setdefault(frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset(), []).append(i)
+    left, root = list(sets), {}
+    while left:
+        part, todo = [], [left.pop()]
+        while todo:
+            x = todo.pop()
+            part.append(x)
+            near = [y for y in left if len(x & y) >= 0.8 * len(x | y)]
+            left = [y for y in left if y not in near]
+            todo += near
+        least = min((i for s in part for i in sets[s] if i is not None), default=None)
+        root |= {i: least for s in part for i in sets[s]}
+    return root
+
+
+@pytest.mark.parametrize("bucket", [200_000, 300])
+def test_near_copies(spark, monkeypatch, bucket):
+    monkeypatch.setattr(near_copies, "BUCKET_SHINGLES", bucket)
+    r = random.Random(12)
+    base = words(r, 60).split(" ")
+    edited = [(2000 + k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(0, 60, 2)]
+    rows = documents() + edited + [(3000, "twice"), (3000, "twice"), (None, "of null id"), (None, "another of null id with more words")]
+    want = slow_copies(rows)
+    got = near_copies.near_groups(table(spark, rows)).collect()
+    assert len(got) == len(rows) and {(g["doc_id"], g["component_id"]) for g in got} == {(i, want[i]) for i, _ in rows}
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    base = words(random.Random(13), 200).split(" ")
+    edited = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (20, 100, 180)]
+    docs = table(spark, list(enumerate([" ".join(base), *edited, words(random.Random(14), 200)])))
+    assert [x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").orderBy("doc_id").collect()] == [0, 4]
+
+
 # ---- licenses
 
 
