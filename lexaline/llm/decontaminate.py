@@ -2,8 +2,9 @@
 
 Numbers, units after a number, and names (capitalised words inside a sentence) become typed placeholders; all other words
 stand in lower case. Windows of template words of the benchmark and of the documents are joined by hash. Along one
-alignment of a document with an item, every placeholder of the item must stand for the same value throughout; matches
-that are consistent count, so questions with other numbers or names are found, and chance alignments are not.
+alignment of a document with an item, every placeholder of the item must stand for one value: that of most of its
+windows. Windows without a placeholder and those that agree with it count, so questions with other numbers or names are
+found, and chance alignments are not.
 """
 
 from __future__ import annotations
@@ -80,6 +81,24 @@ def windows(text: Column, widths: list[int]) -> Column:
     return let(tokens(text), of)
 
 
+def _consistent(seen: Column) -> Column:
+    """Places of the windows of one alignment, ``seen(place, pairs)``, in which every placeholder stands for the value that
+    it has in most windows of the alignment; of equally frequent values that of the item, then the least."""
+
+    def of(pairs: Column) -> Column:
+        distinct = F.array_distinct(pairs)
+
+        def without_losers() -> Column:
+            ranked = F.transform(distinct, lambda p: F.struct((-F.size(F.filter(pairs, lambda x: x == p))).alias("n"), (p["a"] != p["b"]).alias("changed"), p["b"].alias("b"), p["a"].alias("a")))
+            losers = let(ranked, lambda all_: F.transform(F.filter(all_, lambda p: F.exists(all_, lambda q: (q["a"] == p["a"]) & (q < p))), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
+            return let(losers, lambda lost: F.filter(seen, lambda w: ~F.arrays_overlap(w["pairs"], lost)))
+
+        agreed = F.size(distinct) == F.size(F.array_distinct(F.transform(distinct, lambda p: p["a"])))
+        return F.transform(F.when(agreed, seen).otherwise(without_losers()), lambda w: w["place"])
+
+    return let(F.flatten(F.transform(seen, lambda w: w["pairs"])), of)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Rows (id, text_hash, item, n_matched, n_windows, share) for each document and item with a consistent match.
 
@@ -106,9 +125,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     hits = found.join(F.broadcast(wanted) if small else wanted, "key").where(F.size("slots") == F.size("item_slots"))
     # one alignment: the same distance between the places in the document and in the item
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    aligned = hits.groupBy("id", "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    placed = aligned.where(consistent).select("id", "text_hash", "item", F.explode("places").alias("place")).groupBy("id", "text_hash", "item").agg(F.count_distinct("place").alias("n_matched"))
+    aligned = hits.groupBy("id", "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.struct(F.col("item_at").alias("place"), pairs.alias("pairs"))).alias("seen"))
+    placed = aligned.select("id", "text_hash", "item", F.explode(_consistent(F.col("seen"))).alias("place")).groupBy("id", "text_hash", "item").agg(F.count_distinct("place").alias("n_matched"))
     scored = placed.join(F.broadcast(n_windows) if small else n_windows, "item")
     return scored.select(F.col("id").alias(id_col), "text_hash", "item", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("share"))
 

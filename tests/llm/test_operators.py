@@ -332,6 +332,16 @@ def test_slots_must_agree(spark):
     assert [x["doc_id"] for x in decontaminate.contaminated(docs, bench).collect()] == [1]
 
 
+def test_one_conflict_drops_only_its_windows(spark):
+    item = "the farmer keeps 5 cows and 5 goats on a small field behind the old stone barn and walks every morning along the river with a dog to see whether all of them are still there before going back home to eat breakfast with the whole family"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = table(spark, [(1, item), (2, item.replace("5 goats", "9 goats")), (3, item.replace("5", "7"))])
+    n = len(item.split()) - 7
+    # the second number is in seven windows and the first in four of them only, which are in conflict with it
+    got = {x["doc_id"]: (x["n_matched"], x["n_windows"]) for x in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {1: (n, n), 2: (n - 4, n), 3: (n, n)}
+
+
 # ---- toxicity
 
 
