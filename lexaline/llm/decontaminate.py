@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, units after a number, and names (capitalised words inside a sentence) become typed placeholders; all other words
-stand in lower case. Windows of template words of the benchmark and of the documents are joined by hash. Along one
+stand in lower case. A capitalised word elsewhere may be a name or not: windows that hold one are searched both ways.
+Windows of template words of the benchmark and of the documents are joined by hash. Along one
 alignment of a document with an item, every placeholder of the item must stand for one value: that of most of its
 windows. Windows without a placeholder and those that agree with it count, so questions with other numbers or names are
 found, and chance alignments are not.
@@ -29,14 +30,17 @@ UNITS = ("km", "m", "cm", "mm", "mi", "ft", "in", "kg", "g", "mg", "lb", "oz", "
 _NAME_MARK = "\x01"
 _NUMBER_MARK = "\x02"
 _UNIT_MARK = "\x03"
-_TOKEN = r"[\x01-\x03]?(?:[\p{L}\p{M}]+|\p{Nd}+(?:[.,]\p{Nd}+)*)"
+#: A capitalised word that starts a text, sentence, line or quotation, or follows any other sign than those in a sentence.
+_INITIAL_MARK = "\x04"
+_TOKEN = r"[\x01-\x04]?(?:[\p{L}\p{M}]+|\p{Nd}+(?:[.,]\p{Nd}+)*)"
 
 
 def tokens(text: Column) -> Column:
-    """Words of the text in order; numbers, units and names with a mark in front."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _NAME_MARK + _NUMBER_MARK + _UNIT_MARK, "   ")
+    """Words of the text in order; numbers, units, names and possible names with a mark in front."""
+    plain = F.translate(F.coalesce(text, F.lit("")), _NAME_MARK + _NUMBER_MARK + _UNIT_MARK + _INITIAL_MARK, "    ")
     has_digit = F.rlike(plain, F.lit("[0-9]"))
     marked = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{Nd},;:][ \t])(?=\p{Lu}\p{Ll})", _NAME_MARK)
+    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{M}\p{Nd}\x01])(?=\p{Lu}\p{Ll})", _INITIAL_MARK)
     units = "|".join(UNITS)
     with_units = F.regexp_replace(marked, rf"(?<=\p{{Nd}})([ \t]?)(?=(?i:{units})(?![\p{{L}}\p{{M}}]))", "$1 " + _UNIT_MARK)
     numbered = F.regexp_replace(with_units, r"(?<!\p{Nd})(?<!\p{Nd}[.,])(?=\p{Nd})", _NUMBER_MARK)
@@ -52,9 +56,15 @@ def _is_slot(word: Column) -> Column:
     return F.substring(word, 1, 1).isin(_NAME_MARK, _NUMBER_MARK, _UNIT_MARK)
 
 
-def _windows(words: Column, template: Column, slotted: Column, width: int) -> Column:
-    """Structs (at, key, slots) of all windows of ``width`` template words; slots are the values of the placeholders."""
-    at = F.when(F.size(template) >= width, F.sequence(F.lit(0), F.size(template) - width)).otherwise(F.array().cast("array<int>"))
+def _windows(words: Column, template: Column, slotted: Column, width: int, initial: Column | None = None) -> Column:
+    """Structs (at, key, slots) of all windows of ``width`` template words, or of those that hold a place of ``initial``;
+    slots are the values of the placeholders."""
+    if initial is not None:
+        last = F.size(template) - width
+        reached = F.flatten(F.transform(initial, lambda i: F.when(last >= 0, F.sequence(F.least(F.greatest(i - (width - 1), F.lit(0)), last), F.least(i, last))).otherwise(F.array().cast("array<int>"))))
+        at = F.array_distinct(reached)
+    else:
+        at = F.when(F.size(template) >= width, F.sequence(F.lit(0), F.size(template) - width)).otherwise(F.array().cast("array<int>"))
 
     def key(i: Column) -> Column:
         return F.xxhash64(F.lit(width), *[F.get(template, i + j) for j in range(width)])
@@ -68,10 +78,16 @@ def _windows(words: Column, template: Column, slotted: Column, width: int) -> Co
 def windows(text: Column, widths: list[int]) -> Column:
     """All windows of the text, of each of the ``widths``; null counts as empty."""
 
-    def all_widths(words: Column, slotted: Column) -> Column:
-        return let(F.transform(words, _template), lambda t: F.concat(*[_windows(words, t, slotted, w) for w in widths]))
+    def all_widths(words: Column, slotted: Column, initial: Column | None = None) -> Column:
+        return let(F.transform(words, _template), lambda t: F.concat(*[_windows(words, t, slotted, w, initial) for w in widths]))
 
-    def of(words: Column) -> Column:
+    def of(marked: Column) -> Column:
+        places = F.filter(F.transform(marked, lambda w, i: F.when(F.substring(w, 1, 1) == _INITIAL_MARK, i)), F.isnotnull)
+        as_names = let(F.transform(marked, lambda w: F.translate(w, _INITIAL_MARK, _NAME_MARK)), lambda n: let(places, lambda i: all_widths(n, F.lit(True), i)))
+        as_words = let(F.transform(marked, lambda w: F.ltrim(w, F.lit(_INITIAL_MARK))), named_or_not)
+        return F.when(F.exists(marked, lambda w: F.substring(w, 1, 1) == _INITIAL_MARK), F.concat(as_words, as_names)).otherwise(as_words)
+
+    def named_or_not(words: Column) -> Column:
         named = F.exists(words, lambda w: F.substring(w, 1, 1) == _NAME_MARK)
         typed = all_widths(words, F.exists(words, _is_slot))
         # the same with names as plain words: a capital may be all that differs

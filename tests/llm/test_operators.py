@@ -342,6 +342,15 @@ def test_one_conflict_drops_only_its_windows(spark):
     assert got == {1: (n, n), 2: (n - 4, n), 3: (n, n)}
 
 
+def test_names_at_the_start_of_sentences(spark):
+    item = "Tom has 12 apples. Tom gives 5 to Anna. How many apples does Tom have left?"
+    other = item.replace("Tom", "Mia").replace("12", "31").replace("5", "7").replace("Anna", "Paul")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, other), (2, 'He said: "' + other.replace(". ", ".\n") + '"'), (3, other.replace("apples", "pears"))]
+    got = {x["doc_id"]: x["n_matched"] for x in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert got == {1: 9, 2: 9}
+
+
 # ---- toxicity
 
 
