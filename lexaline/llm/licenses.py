@@ -117,8 +117,8 @@ def rules() -> list[dict]:
     return sorted(found, key=lambda r: r["priority"])
 
 
-#: One of these must occur in a text's words before any rule is tried in it.
-GATE = ("licen", "rights reserved", "public domain", "copyright", "general public", "permission is hereby", "permission to use", "redistribution and use", "proprietary", "spdx", "terms of", "cc by", "released under", "distributed under", "available under", "published under", "provided under")
+#: One of these must occur in a text's words before any rule is tried in it: every rule's keyword.
+GATE = tuple(sorted({rule["keyword"] for rule in rules()}))
 
 
 def _spaces(s: Column) -> Column:

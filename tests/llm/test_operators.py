@@ -220,6 +220,12 @@ def test_license_labels(spark, text, labels):
     assert licenses.scan(table(spark, [(1, text)])).first()["labels"] == labels
 
 
+def test_name_and_version_alone(spark):
+    texts = {"Apache 2.0": "apache", "GPL version 3": "gpl", "MPL 2.0": "mpl", "CC0 1.0": "cc0", "submitted 2.0": ""}
+    got = {x["doc_id"]: (x["labels"], x["n_detections"]) for x in licenses.scan(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: (label, int(label != "")) for i, label in enumerate(texts.values())}
+
+
 def test_license_rules_are_many_and_gated():
     rules = licenses.rules()
     assert len(rules) > 200 and [r["priority"] for r in rules] == sorted(r["priority"] for r in rules)
