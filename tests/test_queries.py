@@ -53,6 +53,16 @@ def test_greedy_selection(spark):
     assert [s[0] for s in steps] == ["a", "b"] and steps[0][1] == pytest.approx(1) and steps[1][1] == pytest.approx(0, abs=1e-6)
 
 
+def test_svd_keeps_rows_without_a_term(spark):
+    from lexaline.operators import vectors as V
+
+    texts = ["red bolt", "red bolt", "big saw", "big saw", "once", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: r["svd"] for r in V.svd(V.tfidf_vectors(rows, "id", "t"), "id", 2).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    assert all(any(got[i]) for i in range(4)) and all(got[i] == [0.0, 0.0] for i in (4, 5, 6))
+
+
 def test_folds_of_any_size(spark):
     for n in (0, 1, 7, 23):
         got = sorted(r["fold"] for r in E.folds(spark.range(n), "id", 3).collect())
