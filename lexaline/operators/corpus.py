@@ -95,6 +95,51 @@ def group_similarity(vectors: DataFrame, key: str, group: str, vector: str) -> D
     return rows.select(key, (F.col("n") - 1).alias("n"), F.when(F.col("n") > 1, 1 - others / (F.col("n") - 1)).otherwise(0.0).alias("mean_dist"))
 
 
+#: Rows of a block whose distances to another block are computed at a time.
+BLOCK_ROWS = 2048
+
+
+def group_spread(vectors: DataFrame, key: str, group: str, vector: str) -> DataFrame:
+    """(key, max_dist, min_dist, std_dist): over the cosine distances to all other rows of the same group; 0 where there is
+    none, and deviation 0 for one. The deviation is that of a sample. Keys are distinct.
+
+    Every row meets every other of its group, block by block; a task holds two blocks. This is quadratic in a group.
+    """
+    import numpy as np
+
+    sizes = vectors.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    blocked = vectors.select(F.col(key).alias("k"), F.col(group).alias("g"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.xxhash64(key).alias("h")).join(sizes.withColumnRenamed(group, "g"), "g")
+    blocked = blocked.withColumn("block", F.pmod("h", "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    mine = blocked.select("k", "g", "v", F.lit(True).alias("mine"), F.col("block").alias("i"), every.alias("j"))
+    others = blocked.select("k", "g", "v", F.lit(False).alias("mine"), every.alias("i"), F.col("block").alias("j"))
+
+    def distances(rows):
+        import pandas as pd
+
+        unit = np.stack(rows["v"].to_numpy())
+        unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        at = rows["mine"].to_numpy(bool)
+        keys = rows["k"].to_numpy()
+        left, right = keys[at], keys[~at]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"k": left[:0], "n": [], "mean": [], "m2": [], "high": [], "low": []})
+        dist = 1 - unit[at] @ unit[~at].T
+        other = left[:, None] != right[None, :]
+        n = other.sum(axis=1)
+        mean = np.where(other, dist, 0).sum(axis=1) / np.maximum(n, 1)
+        m2 = np.where(other, (dist - mean[:, None]) ** 2, 0).sum(axis=1)
+        return pd.DataFrame({"k": left, "n": n, "mean": mean, "m2": m2, "high": np.where(other, dist, -np.inf).max(axis=1), "low": np.where(other, dist, np.inf).min(axis=1)})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    parts = mine.unionByName(others).groupBy("g", "i", "j").applyInPandas(distances, f"k {kind}, n long, mean double, m2 double, high double, low double").where("n > 0")
+    whole = parts.groupBy("k").agg(F.sum("n").alias("n"), F.max("high").alias("high"), F.min("low").alias("low"), F.collect_list(F.struct("n", "mean", "m2")).alias("parts"))
+    mean = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["n"] * p["mean"]) / F.col("n")
+    spread = whole.withColumn("m", mean).withColumn("m2", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["m2"] + p["n"] * (p["mean"] - F.col("m")) * (p["mean"] - F.col("m"))))
+    found = spread.select(F.col("k").alias(key), "high", "low", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0).alias("std"))
+    return vectors.select(key).join(found, key, "left").select(key, *[F.coalesce(c, F.lit(0.0)).alias(f"{name}_dist") for c, name in (("high", "max"), ("low", "min"), ("std", "std"))])
+
+
 def nearest_of_words(left: DataFrame, right: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
     """(key, avg_max_sim, avg_min_dist): over the words of the left text, mean greatest cosine and mean least Euclidean
     distance to the words of the right text. ``left`` and ``right`` are (key, word); ``vectors`` is (word, vec)."""

@@ -282,6 +282,12 @@ def co_group_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.group_similarity(e, "vec_id", "label", "embedding").select("vec_id", F.col("n").cast("long").alias("n"), r6(F.col("mean_dist")).alias("mean_dist"))
 
 
+@query("co_group_spread")
+def co_group_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spread = C.group_spread(S.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return spread.select("vec_id", *[r6(F.col(c)).alias(c) for c in ("max_dist", "min_dist", "std_dist")])
+
+
 @query("co_query_id")
 def co_query_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.query_ids(S.search_cases(spark, sf_dir), "search_term", "split")

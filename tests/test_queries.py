@@ -53,6 +53,22 @@ def test_greedy_selection(spark):
     assert [s[0] for s in steps] == ["a", "b"] and steps[0][1] == pytest.approx(1) and steps[1][1] == pytest.approx(0, abs=1e-6)
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_group_spread(spark, monkeypatch, block):
+    import random
+    import statistics
+
+    from lexaline.operators import corpus as C
+
+    monkeypatch.setattr(C, "BLOCK_ROWS", block)
+    r = random.Random(1)
+    rows = [(i, i % 2 if i < 14 else i, [r.uniform(-1, 1) for _ in range(3)]) for i in range(15)]
+    got = {x[0]: tuple(x)[1:] for x in C.group_spread(spark.createDataFrame(rows, "id int, g int, v array<float>"), "id", "g", "v").collect()}
+    for i, g, v in rows:
+        dist = [1 - sum(a * b for a, b in zip(v, w)) / math.hypot(*v) / math.hypot(*w) for j, h, w in rows if h == g and j != i]
+        assert got[i] == pytest.approx((max(dist), min(dist), statistics.stdev(dist)) if dist else (0, 0, 0), abs=1e-6)
+
+
 def test_svd_keeps_rows_without_a_term(spark):
     from lexaline.operators import vectors as V
 
