@@ -306,9 +306,19 @@ def _word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec"))
 
 
+@query("co_w2v_avg_all")
+def co_w2v_avg_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As co_w2v_avg, whose SQL takes three words, over all words of the query."""
+    return _nearest_words(spark, sf_dir, X.tokens(F.col("search_term")))
+
+
 @query("co_w2v_avg")
 def co_w2v_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = S.search_cases(spark, sf_dir).select("row_id", F.slice(X.tokens(F.col("search_term")), 1, 3).alias("q"), X.tokens(F.col("title")).alias("t"))
+    return _nearest_words(spark, sf_dir, F.slice(X.tokens(F.col("search_term")), 1, 3))
+
+
+def _nearest_words(spark: SparkSession, sf_dir: str, words: Column) -> DataFrame:
+    cases = S.search_cases(spark, sf_dir).select("row_id", words.alias("q"), X.tokens(F.col("title")).alias("t"))
     size = lambda w: (F.length(w) * 7 % 100).cast("string")  # noqa: E731  a word's vector is that of its length
     left = cases.select("row_id", F.posexplode("q").alias("pos", "w")).select("row_id", "pos", size(F.col("w")).alias("word"))
     right = cases.select("row_id", F.explode("t").alias("w")).select("row_id", size(F.col("w")).alias("word")).distinct()

@@ -69,6 +69,16 @@ def test_group_spread(spark, monkeypatch, block):
         assert got[i] == pytest.approx((max(dist), min(dist), statistics.stdev(dist)) if dist else (0, 0, 0), abs=1e-6)
 
 
+def test_all_query_words_are_compared(spark):
+    from lexaline.functions import text as X
+
+    cases = S.search_cases(spark, SF).select("row_id", F.size(X.tokens(F.col("search_term"))).alias("n"))
+    longer = {r["row_id"] for r in cases.where("n > 3").collect()}
+    part, whole = ({r["row_id"]: tuple(r) for r in QUERIES[name](spark, SF).collect()} for name in ("co_w2v_avg", "co_w2v_avg_all"))
+    assert longer and part.keys() == whole.keys()
+    assert {i for i in part if part[i] != whole[i]} <= longer and any(part[i] != whole[i] for i in longer)
+
+
 def test_svd_keeps_rows_without_a_term(spark):
     from lexaline.operators import vectors as V
 
