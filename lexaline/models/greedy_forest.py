@@ -1,8 +1,8 @@
 """Regularised greedy forest for square loss, after Johnson and Zhang (TPAMI 2014).
 
 The forest grows one split at a time: the best of the newest tree's leaves and of a new root, by penalised loss; after
-every ``refit_every`` leaves all leaf weights are corrected together. Rows are binned to at most 64 borders a feature, and
-the histograms of a step are one aggregate over the rows, so the data stays distributed; the trees stay on the driver.
+every ``refit_every`` leaves all leaf weights are corrected together. Every distinct value of a feature is a border; only
+features of more than ``MAX_DISTINCT`` values have ``n_bins`` - 1 quantiles instead. The histograms of a step are one aggregate over the rows, so the data stays distributed; the trees stay on the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Distinct values up to which all of a feature's values are borders.
+MAX_DISTINCT = 1000
+
+
 @dataclass
 class Node:
     tree: int
@@ -40,18 +44,29 @@ def _inside(node: Node) -> Column:
     return held
 
 
+def _place(df: DataFrame, feature: str, n_bins: int) -> Column:
+    """The least border that is not below the row's value: the value itself where all are borders. Nulls are least."""
+    value = F.col(feature).cast("double")
+    least = F.lit(float("-inf"))
+    if df.select(feature).distinct().limit(MAX_DISTINCT + 1).count() <= MAX_DISTINCT:
+        return F.coalesce(value, least)
+    cuts = df.select(F.percentile_approx(feature, [i / n_bins for i in range(1, n_bins)])).first()[0]
+    borders = F.array(*[F.lit(float(b)) for b in sorted(set(cuts))])
+    return F.when(value.isNull(), least).otherwise(F.coalesce(F.get(F.filter(borders, lambda b: b >= value), F.lit(0)), F.lit(float("inf"))))
+
+
 def _gain(s, n, w, penalty: float):
     """Least loss change from moving weight w of n rows with residual sum s."""
     q = (s - penalty * w) / (n + penalty)
     return q * q * (n + penalty) / 2
 
 
-def _best(df: DataFrame, features: list[str], borders: dict[str, list[float]], nodes: list[Node], forest: GreedyForest, truth: str, penalty: float, least: int):
+def _best(df: DataFrame, features: list[str], places: dict[str, Column], nodes: list[Node], forest: GreedyForest, truth: str, penalty: float, least: int):
     residual = F.col(truth) - forest.predict()
     rows = df.withColumn("_r", residual).withColumn("_nodes", F.array_compact(F.array(*[F.when(_inside(x), F.lit(i)) for i, x in enumerate(nodes)])))
-    bins = F.array(*[F.struct(F.lit(f).alias("f"), sum((F.when(F.col(f) > b, 1).otherwise(0) for b in borders[f]), F.lit(0)).alias("b")) for f in features])
+    bins = F.array(*[F.struct(F.lit(f).alias("f"), places[f].alias("b")) for f in features])
     table = rows.select("_r", F.explode("_nodes").alias("node"), bins.alias("bins")).select("_r", "node", F.explode("bins").alias("x"))
-    found = table.groupBy("node", "x.f", "x.b").agg(F.sum("_r").alias("s"), F.count("*").alias("n")).collect()  # nodes x features x bins
+    found = table.groupBy("node", "x.f", "x.b").agg(F.sum("_r").alias("s"), F.count("*").alias("n")).collect()  # nodes x features x borders, at most MAX_DISTINCT of them
     best = None
     for i, node in enumerate(nodes):
         for f in features:
@@ -65,19 +80,18 @@ def _best(df: DataFrame, features: list[str], borders: dict[str, list[float]], n
                 gain = _gain(sl, nl, node.weight, penalty) + _gain(st - sl, nt - nl, node.weight, penalty)
                 if best is None or gain > best[0] + 1e-12:
                     left, right = ((sl - penalty * node.weight) / (nl + penalty), (st - sl - penalty * node.weight) / (nt - nl + penalty))
-                    best = (gain, i, f, borders[f][b], node.weight + left, node.weight + right)
+                    best = (gain, i, f, b, node.weight + left, node.weight + right)
     return best
 
 
-def fit(df: DataFrame, features: list[str], truth: str, max_leaves: int = 8, penalty: float = 1.0, refit_every: int = 4, least: int = 10, n_bins: int = 16) -> GreedyForest:
+def fit(df: DataFrame, features: list[str], truth: str, max_leaves: int = 8, penalty: float = 1.0, refit_every: int = 4, least: int = 10, n_bins: int = 64) -> GreedyForest:
     df = df.select(*features, truth).where(F.col(truth).isNotNull()).persist()
-    cuts = df.select(*[F.percentile_approx(f, [i / n_bins for i in range(1, n_bins)]).alias(f) for f in features]).first()
-    borders = {f: sorted(set(cuts[f] or [])) for f in features}
+    places = {f: _place(df, f, n_bins) for f in features}
     forest = GreedyForest(float(df.agg(F.avg(truth)).first()[0] or 0.0))
     tree = 0
     while len(forest.leaves) < max_leaves:
         newest = [x for x in forest.leaves if x.tree == tree]
-        best = _best(df, features, borders, [*newest, Node(tree + 1, ())], forest, truth, penalty, least)
+        best = _best(df, features, places, [*newest, Node(tree + 1, ())], forest, truth, penalty, least)
         if best is None:
             break
         _, i, f, border, left, right = best

@@ -505,7 +505,7 @@ def ml_greedy_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexaline.models import greedy_forest
 
     rows = _model_rows(spark, sf_dir)
-    return rows.select("row_id", greedy_forest.fit(rows, NUMERIC, "relevance", max_leaves=4).predict().alias("pred"))
+    return rows.select("row_id", greedy_forest.fit(rows, NUMERIC, "relevance").predict().alias("pred"))
 
 
 @query("co_svd")

@@ -79,6 +79,17 @@ def test_all_query_words_are_compared(spark):
     assert {i for i in part if part[i] != whole[i]} <= longer and any(part[i] != whole[i] for i in longer)
 
 
+def test_greedy_forest_splits_a_skewed_feature(spark):
+    from lexaline.models import greedy_forest
+
+    rows = [(0.0, 0.0)] * 960 + [(1.0, 0.0)] * 20 + [(2.0, 9.0)] * 20
+    df = spark.createDataFrame(rows, "x double, y double")
+    forest = greedy_forest.fit(df, ["x"], "y", max_leaves=4)
+    assert 1.0 in {border for leaf in forest.leaves for _, border, _ in leaf.path}
+    means = {r["x"]: r["p"] for r in df.groupBy("x").agg(F.avg(forest.predict()).alias("p")).collect()}
+    assert means[2.0] > 7 and abs(means[0.0]) < 1 and abs(means[1.0]) < 1
+
+
 def test_svd_keeps_rows_without_a_term(spark):
     from lexaline.operators import vectors as V
 
