@@ -1,7 +1,8 @@
 """Intermediate tables in the shared checkpoint folder.
 
 Iterative and multi-pass operators cut their lineage by writing a Parquet table into the folder that the session
-names in ``spark.checkpoint.dir``; every executor can read it again after another one is lost.
+names in ``spark.checkpoint.dir``; every executor can read it again after another one is lost. Tables that a result
+still reads stay there until the session's owner empties the folder; those of finished rounds are deleted.
 """
 
 from __future__ import annotations
@@ -11,11 +12,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, shuffle files go once the job that made them has ended, and not when the driver happens to collect garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; where it is unset (single-machine tests) a temporary one, set for the session."""
+    """Folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one is set for the session if driver and
+    executors are one process (tests); on a cluster that is an error, as executors don't see the driver's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexaline-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -25,9 +32,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of the written table."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/lexaline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Shuffle files of the finished job are dropped once the driver's JVM has collected their handles.
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
