@@ -155,12 +155,12 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with one document left of each near-duplicate group that ``find`` gives: the one with the least id.
 
     Of repeated rows with that id and one text, one stays. Rows with a null id stay only where their whole group has
-    null ids, one for each different text.
+    null ids, one for each different text. All columns come back, whatever their names. An empty table stays empty.
     """
     groups = find(docs, id_col, text_col)
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-    from pyspark.sql import Window
-
-    same = Window.partitionBy(id_col, "_same").orderBy(F.lit(1))
-    return kept.withColumn("_same", F.xxhash64(text_col)).withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_same", "_nth")
+    # the input's columns move inside one struct, so no helper name can meet one of theirs
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
+    kept = rows.join(keep, F.col(f"row.`{id_col}`").eqNullSafe(F.col("kept_id")), "left_semi")
+    one = kept.groupBy(F.col(f"row.`{id_col}`").alias("of_id"), F.sha2(F.col(f"row.`{text_col}`"), 256).alias("of_text")).agg(F.first("row").alias("row"))
+    return one.select("row.*")
