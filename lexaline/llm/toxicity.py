@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Presence of the hashed n-grams (3 to 5 characters, lower case) in the whole text is the evidence. The ``n_features``
-n-grams that tell the two labels apart best are kept; each is scaled by its naive Bayes log-count ratio, and a logistic
-regression over the scaled presences, with weight for the true share of each label, gives the score.
+Presence of the hashed n-grams (3 to 5 characters, lower case) in the whole text is the evidence. Each n-gram is scaled
+by its naive Bayes log-count ratio, drawn towards zero by ``sure`` standard errors of it, so that n-grams whose ratio may
+well be chance count for nothing, however many there are; no number of n-grams is fixed. A logistic regression over the
+scaled presences, with weight for the true share of each label, gives the score.
 
 The model is fitted on a bounded sample: the ``per_class`` rows of each label with the least hash of their id. The
 bound is a parameter, so the fit costs the same on any corpus; scoring covers all rows.
@@ -10,6 +11,8 @@ bound is a parameter, so the fit costs the same on any corpus; scoring covers al
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +25,7 @@ from lexaline.llm.storage import materialize
 #: log2 of the number of n-gram buckets.
 HASH_BITS = 18
 SIZES = (3, 4, 5)
+BUCKETS = 1 << HASH_BITS
 #: Characters that are hashed at a time; neighbours overlap by the longest n-gram.
 CHUNK = 1 << 20
 
@@ -49,94 +53,110 @@ def ngram_buckets(text: str | None):
                 yield ((mixed + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
 
 
-def present(text: str | None, wanted: np.ndarray) -> np.ndarray:
-    """Distinct buckets of the text among those ``wanted`` (a boolean per bucket)."""
-    hits = [b[wanted[b]] for b in ngram_buckets(text)]
-    return np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.uint32)
+def present(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Distinct buckets of the text, ascending; of those ``wanted`` (a boolean per bucket) if given."""
+    held = np.zeros(BUCKETS, bool)
+    for buckets in ngram_buckets(text):
+        held[buckets] = True
+    return np.flatnonzero(held if wanted is None else held & wanted)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(label, text) of the labelled rows to learn from: ``per_class`` of each label at most, whole texts."""
-    clean = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of the usable labels: 0 or 1 of an id; of repeated labels of one id the toxic one counts."""
+    return labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+
+
+def sample_labelled(docs: DataFrame, clean: DataFrame, per_class: int) -> DataFrame:
+    """(label, text) of the rows of ``clean(doc_id, label)`` to learn from: ``per_class`` of each label at most, whole texts."""
     picked = [clean.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # at most two times per_class ids
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     return docs.select("doc_id", "text").join(ids, "doc_id").select("label", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features: int = 2048, rounds: int = 300, l2: float = 1e-3) -> ToxicityModel:
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(label, grams): the distinct buckets of each text as a compressed bit map."""
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.iloc[at : at + 256]
+            grams = []
+            for text in part["text"]:
+                bits = np.zeros(BUCKETS, bool)
+                bits[present(text)] = True
+                grams.append(zlib.compress(np.packbits(bits).tobytes(), 1))
+            yield pd.DataFrame({"label": part["label"], "grams": grams})
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float = 3.0, rounds: int = 150, l2: float = 1e-4) -> ToxicityModel:
     """Fit on ``labels(doc_id, toxic)`` joined to ``docs(doc_id, text)``.
 
-    Labels other than 0 and 1 and null ids don't count; of repeated labels of one id the toxic one does. Without
-    examples of both labels the model gives every text the share of toxic labels (0 without any).
+    Labels other than 0 and 1 and null ids don't count; of repeated labels of one id the toxic one does. Null texts
+    count as empty, repeated rows count as often as they occur. Without examples of both labels, as with empty tables,
+    the model gives every text the share of toxic labels (0 without any). The driver holds the bit maps of the sample.
     """
-    counts = {r["toxic"]: r["count"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    clean = materialize(labelled(labels), "toxicity-labels")
+    counts = {r["label"]: r["count"] for r in clean.groupBy("label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    sample = materialize(sample_labelled(docs, labels, per_class), "toxicity-sample")
-
-    @F.pandas_udf("array<int>")
-    def buckets(texts: pd.Series) -> pd.Series:
-        every = np.ones(1 << HASH_BITS, bool)
-        return pd.Series([present(t, every).astype(np.int32) for t in texts])
-
-    seen = sample.select("label", F.explode(buckets("text")).alias("b")).groupBy("b").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    seen = seen.toPandas()  # a row for each bucket at most
-    n_rows = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n_pos, n_neg = n_rows.get(1, 0), n_rows.get(0, 0)
-    weights = np.zeros(1 << HASH_BITS, np.float32)
+    sample = materialize(sample_labelled(docs, clean, per_class).mapInPandas(_packed, "label int, grams binary"), "toxicity-sample")
+    rows = sample.orderBy("label", F.xxhash64("grams")).toPandas()  # the bounded sample
+    weights = np.zeros(BUCKETS, np.float32)
+    y = rows["label"].to_numpy(np.float64)
+    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     if not n_pos or not n_neg:
         prior = min(max(share, 1e-6), 1 - 1e-6)
         return ToxicityModel(weights, float(np.log(prior / (1 - prior))))
-
-    at = seen["b"].to_numpy()
-    pos, neg = seen["pos"].to_numpy(float), seen["neg"].to_numpy(float)
-    p, q = (pos + 1) / (n_pos + 2), (neg + 1) / (n_neg + 2)
-    ratio = np.log(p / q)
-    # information of the bucket about the label, for the choice only
-    gain = np.abs(pos / n_pos - neg / n_neg) * np.abs(ratio)
-    chosen = np.lexsort((at, -gain))[:n_features]
-    kept, scale = at[chosen], ratio[chosen]
-    column = np.full(1 << HASH_BITS, -1, np.int32)
-    column[kept] = np.arange(len(kept))
-    wanted = column >= 0
-
-    @F.pandas_udf("array<int>")
-    def columns(texts: pd.Series) -> pd.Series:
-        return pd.Series([column[present(t, wanted)] for t in texts])
-
-    rows = sample.select("label", columns("text").alias("c")).orderBy("label", F.xxhash64("c")).toPandas()  # the bounded sample
-    y = rows["label"].to_numpy(float)
-    x = np.zeros((len(rows), len(kept)), np.float32)
-    for i, c in enumerate(rows["c"]):
-        x[i, np.asarray(c, int)] = 1
-    x *= scale.astype(np.float32)
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for label, g in zip(y.astype(int), rows["grams"]):
+        counts[label] += _bits(g)
+    ratio = log_count_ratios(counts, n_neg, n_pos, sure)
+    wanted = ratio != 0
+    x = [np.flatnonzero(_bits(g) & wanted) for g in rows["grams"]]
     weight = np.where(y == 1, max(share, 1e-3) / n_pos, (1 - max(share, 1e-3)) / n_neg)
-    w, bias = _logistic(x, y, weight / weight.sum(), rounds, l2)
-    weights[kept] = w * scale
-    return ToxicityModel(weights, bias)
+    w, bias = _logistic(x, ratio, y, weight / weight.sum(), rounds, l2)
+    return ToxicityModel((w * ratio).astype(np.float32), bias)
+
 
+def _bits(grams: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(grams), np.uint8))
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by Adam steps over the whole sample."""
-    w = np.zeros(x.shape[1] + 1)
+
+def log_count_ratios(counts: np.ndarray, n_neg: int, n_pos: int, sure: float) -> np.ndarray:
+    """Logarithm of the smoothed share of label-1 rows with a bucket (``counts[1]`` of ``n_pos``) over that of label-0
+    rows, drawn towards zero by ``sure`` standard errors."""
+    share = (counts + 1) / np.array([[n_neg + 2], [n_pos + 2]])
+    ratio = np.log(share[1] / share[0])
+    error = np.sqrt((1 / (counts + 1)).sum(axis=0))
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - sure * error)
+
+
+def _logistic(x: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression over scaled presences by Adam steps over the whole sample, some rows at a time."""
+    blocks = []
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512]
+        blocks.append((slice(at, at + len(part)), np.concatenate(part), np.array([len(i) for i in part])))
+    w = np.zeros(len(ratio) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = x @ w[:-1].astype(np.float32) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grad = np.append(error.astype(np.float32) @ x + l2 * w[:-1], error.sum())
+        scaled = w[:-1] * ratio
+        grad = np.append(l2 * w[:-1], 0.0)
+        for rows, flat, sizes in blocks:
+            z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), scaled[flat], len(sizes)) + w[-1]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows]
+            grad[:-1] += np.bincount(flat, np.repeat(error, sizes), len(ratio)) * ratio
+            grad[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1].astype(np.float32), float(w[-1])
+    return w[:-1], float(w[-1])
 
 
 def score(model: ToxicityModel, text: str | None) -> float:
     """Probability of label 1, from the whole text; null counts as empty."""
-    wanted = model.weights != 0
-    return _score(model, wanted, text)
+    return _score(model, model.weights != 0, text)
 
 
 def _score(model: ToxicityModel, wanted: np.ndarray, text: str | None) -> float:
-    z = float(model.weights[present(text, wanted)].sum()) + model.bias
+    z = float(model.weights[present(text, wanted)].sum(dtype=np.float64)) + model.bias
     return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
@@ -157,5 +177,9 @@ def learning_rows(labels: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns come back, whatever their names.
+
+    Null and empty texts have the score of a text without evidence. Repeated rows go or stay together; an empty table
+    stays empty.
+    """
     return docs.where(scores(model, F.col("text")) < threshold)
