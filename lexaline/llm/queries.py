@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaline.llm import bpe, chat, decontaminate, licenses, pii, secrets, simhash, sketches, substrings, toxicity
-from lexaline.llm.storage import materialize
+from lexaline.llm.storage import checkpoint_root, materialize
+
 
 def tokenizer_file(name: str) -> str:
     """Where a public tokenizer's vocabulary file is; a parameter of the operators, never copied."""
@@ -55,7 +57,7 @@ def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contaminated(documents(spark, sf_dir), benchmark)
-    return found.select("doc_id", F.col("item").alias("item_id"), "n_matched", "n_windows", "share")
+    return found.select("doc_id", F.col("item").alias("item_id"), "n_items", "n_matched", "n_windows", "share")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    # one stored ledger, grown by two increments: the second scans what the first left unseen
+    ledger = f"{checkpoint_root(spark)}/lexaline/secrets-{uuid.uuid4().hex}"
+    early = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False))
+    for increment in (docs.where(early), docs.where(~early)):
+        secrets.extend_ledger(increment, ledger)
+    found = secrets.findings(docs, secrets.open_ledger(spark, ledger))
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
     counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(secrets.BASE)]
     return found.select("doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))

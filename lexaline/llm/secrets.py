@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaline.llm.expressions import matches
@@ -74,33 +74,67 @@ def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataF
     return rows.select("blob", F.explode("rows").alias("r")).select("blob", "r.rule", "r.spans")
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[SecretRule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Findings (path, blob, spans) of every row of ``versions``, and the ledger after the run.
+LEDGER = f"blob string, rule string, spans {SPANS}"
 
-    ``ledger(blob, rule, spans)`` is what earlier runs returned; None stands for the first run. Null texts count as
-    empty. Repeated rows and null paths come back as they are; other columns are ignored. The spans of a row are sorted
-    by start and then by the order of the rules. The text moves once, one copy of each blob from each task.
-    """
-    spark = versions.sparkSession
+
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    return spark.range(0).select(F.lit("").alias("blob"), F.lit("").alias("rule"), F.array().cast(SPANS).alias("spans"))
+
+
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger stored at ``path``; where there is none yet, an empty one is stored."""
+    empty_ledger(spark).write.mode("ignore").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def _addressed(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    addressed = versions.select(F.col(path_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+    return versions.select(F.col(path_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+
+
+def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[SecretRule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Ledger rows for the pairs of blob and rule version that ``ledger`` lacks: of all texts, each blob once.
+
+    The text moves once, one copy of each blob from each task.
+    """
+    every = F.array(*[F.lit(r.key) for r in rules])
+    blobs = _addressed(versions, text_col, text_col).groupBy("blob").agg(F.first("text").alias("text"))
+    done = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    pending = F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))
+    unseen = blobs.join(done, "blob", "left").select("blob", "text", pending.alias("pending")).where(F.size("pending") > 0)
+    return scan_blobs(unseen, rules)
+
+
+def extend_ledger(versions: DataFrame, path: str, rules: tuple[SecretRule, ...] = RULES, text_col: str = "text") -> None:
+    """Scan what the ledger stored at ``path`` lacks, and append it there; a run that fails appends nothing."""
+    known = open_ledger(versions.sparkSession, path)
+    scan_unseen(versions, known, rules, text_col).write.mode("append").parquet(path)
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[SecretRule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (path, blob, spans) of every row of ``versions``, from a ledger that holds their blobs.
+
+    Null texts count as empty. Repeated rows and null paths come back as they are; other columns are ignored. The spans
+    of a row are sorted by start and then by the order of the rules. Only addresses and spans are joined; a blob of very
+    many paths is a skewed side of an outer join, which Spark splits.
+    """
     keys = [r.key for r in rules]
-    every = F.array(*[F.lit(k) for k in keys])
-    blobs = addressed.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is None:
-        ledger = spark.createDataFrame([], f"blob string, rule string, spans {SPANS}")
-        unseen = blobs.withColumn("pending", every)
-    else:
-        done = ledger.where(F.col("rule").isin(keys)).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        pending = F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))
-        unseen = blobs.join(done, "blob", "left").select("blob", "text", pending.alias("pending")).where(F.size("pending") > 0)
-    grown = ledger.unionByName(materialize(scan_blobs(unseen, rules), "secrets-ledger"))
     order = F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(k), F.lit(i))])
-    hits = grown.where(F.col("rule").isin(keys)).where(F.size("spans") > 0).select("blob", F.element_at(order, F.col("rule")).alias("kind"), F.explode("spans").alias("s"))
+    hits = ledger.where(F.col("rule").isin(keys)).where(F.size("spans") > 0).select("blob", F.element_at(order, F.col("rule")).alias("kind"), F.explode("spans").alias("s"))
     by_blob = hits.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s.start", "kind", "s.stop"))).alias("spans"))
-    findings = addressed.select("path", "blob").join(by_blob, "blob", "left")
+    joined = _addressed(versions, path_col, text_col).select("path", "blob").join(by_blob, "blob", "left")
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-    return findings.select(F.col("path").alias(path_col), "blob", F.coalesce("spans", none).alias("spans")), grown
+    return joined.select(F.col("path").alias(path_col), "blob", F.coalesce("spans", none).alias("spans"))
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[SecretRule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Findings of every row of ``versions`` as in :func:`findings`, and the ledger after the run.
+
+    ``ledger(blob, rule, spans)`` is what earlier runs returned; None stands for the first run.
+    """
+    ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
+    grown = ledger.unionByName(materialize(scan_unseen(versions, ledger, rules, text_col), "secrets-ledger"))
+    return findings(versions, grown, rules, path_col, text_col), grown
 
 
 def span_list(spans: Column, rules: tuple[SecretRule, ...] = RULES) -> Column:
