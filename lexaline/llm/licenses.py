@@ -1,8 +1,9 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
 A text becomes its lower-case words with one space between them. Each rule is a regular expression over these words with
-a keyword that must occur before the expression is tried, a priority (1 is strongest) and a weight. A detection that
-lies inside one of the same or a stronger priority is suppressed; of what stays, the labels are reported.
+a keyword that must occur before the expression is tried, a priority (1 is strongest) and a weight. Rules are ordered by
+priority and then as written. A detection that lies inside one of the same or a stronger priority is suppressed; of
+equal intervals and priorities that of the first rule stays. Of what stays, the labels are reported.
 """
 
 from __future__ import annotations
@@ -86,35 +87,156 @@ _FORMS = (
     (r"{n} licen[sc]e{v}", 2, 0.9),
     (r"{n}(?:(?: version| v| ver) v?[0-9]+(?: [0-9]+)*| [0-9]+ [0-9]+(?: [0-9]+)?)", 3, 0.6),
 )
-#: Wordings without a license name: pattern, keyword, label, priority, weight.
+#: Sentences and short forms of single licenses: pattern, keyword, label, priority, weight.
 _NOTICES = (
+    # notices of permission and whole license texts
+    (r"licen[sc]ed under the apache licen[sc]e(?: version)? 2 0(?: the licen[sc]e)?", "apache", "apache", 1, 1.0),
+    (r"you may not use this file except in compliance with the licen[sc]e", "except in compliance", "apache", 1, 0.9),
+    (r"unless required by applicable law or agreed to in writing", "agreed to in writing", "apache", 1, 0.9),
+    (r"permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted", "mit", 1, 1.0),
+    (r"the above copyright notice and this permission notice shall be included in all copies", "this permission notice shall", "mit", 1, 1.0),
+    (r"the software is provided as is without warranty of any kind", "without warranty of any kind", "mit", 1, 0.8),
+    (r"the software shall be used for good not evil", "for good not evil", "json", 1, 1.0),
+    (r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use", "bsd", 1, 1.0),
+    (r"redistributions of source code must retain the above copyright notice", "redistributions of source", "bsd", 1, 0.95),
+    (r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary", "bsd", 1, 0.95),
+    (r"neither the name of [^ ]+(?: [^ ]+){{0,8}} nor the names of its contributors may be used", "nor the names of", "bsd", 1, 0.95),
+    (r"all advertising materials mentioning features or use of this software", "advertising materials mentioning", "bsd-advertising", 1, 1.0),
+    (r"this software is provided by the (?:copyright holders|regents|author)(?: and contributors)? as is", "this software is provided by", "bsd", 1, 0.9),
+    (r"permission to use copy modify and or distribute this software for any purpose", "permission to use copy", "isc", 1, 1.0),
+    (r"permission to use copy modify and distribute this software and its documentation for any purpose", "permission to use copy", "hpnd", 1, 1.0),
+    (r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "authors be held liable", "zlib", 1, 1.0),
+    (r"altered source versions must be plainly marked as such", "plainly marked as such", "zlib", 1, 1.0),
+    (r"this is free and unencumbered software released into the public domain", "unencumbered", "unlicense", 1, 1.0),
+    (r"anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy", "unlicense", 1, 0.95),
+    (r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", "this program is free software", "gpl", 1, 1.0),
+    (r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e", "this library is free software", "lgpl", 1, 1.0),
+    (r"you should have received a copy of the gnu general public licen[sc]e", "you should have received", "gpl", 1, 1.0),
+    (r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", "you should have received", "lgpl", 1, 1.0),
+    (r"you should have received a copy of the gnu affero general public licen[sc]e", "you should have received", "agpl", 1, 1.0),
+    (r"either version [0-9]+ of the licen[sc]e or at your option any later version", "at your option any later", "gpl", 2, 0.7),
+    (r"without even the implied warranty of merchantability or fitness for a particular purpose", "without even the implied", "gpl", 2, 0.7),
+    (r"this source code form is subject to the terms of the mozilla public licen[sc]e", "subject to the terms", "mpl", 1, 1.0),
+    (r"if a copy of the mpl was not distributed with this file", "copy of the mpl", "mpl", 1, 1.0),
+    (r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", "accompanying materials", "epl", 1, 1.0),
+    (r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", "common development", "cddl", 1, 1.0),
+    (r"this package is free software you can redistribute it and or modify it under the same terms as perl", "same terms as perl", "artistic", 1, 1.0),
+    (r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", "modify this document", "gfdl", 1, 1.0),
+    (r"permission is hereby granted to use reproduce prepare derivative works of", "prepare derivative works", "bsl", 1, 0.9),
+    (r"as long as you retain this notice you can do whatever you want with this stuff", "retain this notice", "beerware", 1, 1.0),
+    (r"do what the fuck you want to public licen[sc]e", "want to public", "wtfpl", 1, 1.0),
+    (r"copying and distribution of this file with or without modification are permitted in any medium without royalty", "without royalty", "fsfap", 1, 1.0),
+    (r"this font software is licen[sc]ed under the sil open font licen[sc]e", "font software", "ofl", 1, 1.0),
+    (r"this product includes software developed by the openssl project", "openssl project", "openssl", 1, 1.0),
+    (r"this product includes php software", "php software", "php", 1, 1.0),
+    (r"this software and or documentation is based in part on the work of the independent jpeg group", "independent jpeg group", "ijg", 1, 1.0),
+    (r"this file is part of the freetype project", "freetype project", "ftl", 1, 1.0),
+    (r"unicode data files and software", "unicode data files", "unicode", 1, 0.9),
+    (r"the commons clause licen[sc]e condition", "commons clause", "commons-clause", 1, 1.0),
+    (r"the person who associated a work with this deed has dedicated the work to the public domain", "with this deed", "cc0", 1, 1.0),
+    (r"to the extent possible under law the (?:author|person)(?: s)? (?:have|has|who)", "extent possible under law", "cc0", 1, 0.95),
+    (r"(?:released|dedicated|placed) (?:in|in to|into|to) the public domain", "public domain", "public-domain", 1, 0.95),
+    # addresses
+    (r"opensource org licenses mit(?: license(?: php)?)?", "opensource org", "mit", 1, 1.0),
+    (r"opensource org licenses bsd [23] clause", "opensource org", "bsd", 1, 1.0),
+    (r"opensource org licenses apache 2 0", "opensource org", "apache", 1, 1.0),
+    (r"opensource org licenses isc", "opensource org", "isc", 1, 1.0),
+    (r"apache org licenses licen[sc]e 2 0", "apache org licenses", "apache", 1, 1.0),
+    (r"gnu org (?:licenses|copyleft) gpl", "gnu org", "gpl", 1, 1.0),
+    (r"gnu org (?:licenses|copyleft) lgpl", "gnu org", "lgpl", 1, 1.0),
+    (r"gnu org licenses agpl", "gnu org", "agpl", 1, 1.0),
+    (r"gnu org (?:licenses|copyleft) fdl", "gnu org", "gfdl", 1, 1.0),
+    (r"mozilla org mpl(?: 2 0)?", "mozilla org", "mpl", 1, 1.0),
+    (r"eclipse org legal epl", "eclipse org", "epl", 1, 1.0),
+    (r"boost org licen[sc]e 1 0", "boost org", "bsl", 1, 1.0),
+    (r"unlicense org", "unlicense org", "unlicense", 1, 1.0),
+    (r"wtfpl net", "wtfpl net", "wtfpl", 1, 1.0),
+    (r"scripts sil org ofl", "scripts sil", "ofl", 1, 1.0),
+    (r"creativecommons org publicdomain zero 1 0", "creativecommons org", "cc0", 1, 1.0),
+    (r"creativecommons org publicdomain mark 1 0", "creativecommons org", "public-domain", 1, 1.0),
+    (r"creativecommons org licenses by(?: [0-9] [0-9])?", "creativecommons org", "cc-by", 1, 1.0),
+    (r"creativecommons org licenses by sa(?: [0-9] [0-9])?", "creativecommons org", "cc-by-sa", 1, 1.0),
+    (r"creativecommons org licenses by nc(?: [0-9] [0-9])?", "creativecommons org", "cc-by-nc", 1, 1.0),
+    (r"creativecommons org licenses by nd(?: [0-9] [0-9])?", "creativecommons org", "cc-by-nd", 1, 1.0),
+    (r"creativecommons org licenses by nc sa(?: [0-9] [0-9])?", "creativecommons org", "cc-by-nc-sa", 1, 1.0),
+    (r"creativecommons org licenses by nc nd(?: [0-9] [0-9])?", "creativecommons org", "cc-by-nc-nd", 1, 1.0),
+    # short identifiers and names that only one license has
+    (r"gpl [123] 0 (?:only|or later)", "gpl", "gpl", 2, 0.95),
+    (r"lgpl (?:2 [01]|3 0) (?:only|or later)", "lgpl", "lgpl", 2, 0.95),
+    (r"agpl [13] 0 (?:only|or later)", "agpl", "agpl", 2, 0.95),
+    (r"bsd [0234] clause(?: licen[sc]e)?", "clause", "bsd", 2, 0.9),
+    (r"(?:new|modified|simplified|revised) bsd licen[sc]e", "bsd licen", "bsd", 2, 0.9),
+    (r"mit 0", "mit 0", "mit-0", 3, 0.7),
+    (r"mit x11(?: licen[sc]e)?", "mit x11", "mit", 2, 0.9),
+    (r"x11 licen[sc]e", "x11 licen", "x11", 2, 0.9),
+    (r"gpl v ?[123]", "gpl v", "gpl", 3, 0.8),
+    (r"gplv[123]", "gplv", "gpl", 3, 0.8),
+    (r"lgplv[23]", "lgplv", "lgpl", 3, 0.8),
+    (r"agplv3", "agplv3", "agpl", 3, 0.8),
+    (r"dual licen[sc]ed under (?:the )?mit and gpl(?: licenses)?", "dual licen", "gpl", 1, 0.9),
+    (r"dual licen[sc]ed under (?:the )?(?:apache|mit)(?: 2 0)? (?:or|and) (?:apache|mit)(?: 2 0)?", "dual licen", "mit", 1, 0.9),
+    (r"sil open font licen[sc]e(?: version)?(?: 1 [01])?", "sil open font", "ofl", 2, 0.95),
+    (r"ofl 1 [01]", "ofl 1", "ofl", 2, 0.8),
+    (r"business source licen[sc]e(?: 1 1)?", "business source", "busl", 2, 0.9),
+    (r"server side public licen[sc]e", "server side public", "sspl", 2, 0.95),
+    (r"elastic licen[sc]e(?: 2 0)?", "elastic licen", "elastic", 2, 0.9),
+    (r"polyform (?:noncommercial|small business|shield|strict)(?: licen[sc]e)?", "polyform", "polyform", 2, 0.9),
+    (r"postgresql licen[sc]e", "postgresql licen", "postgresql", 2, 0.9),
+    (r"openssl licen[sc]e", "openssl licen", "openssl", 2, 0.9),
+    (r"php licen[sc]e(?: version)?(?: 3 0[01]?)?", "php licen", "php", 2, 0.9),
+    (r"ruby licen[sc]e", "ruby licen", "ruby", 2, 0.8),
+    (r"vim licen[sc]e", "vim licen", "vim", 2, 0.9),
+    (r"curl licen[sc]e", "curl licen", "curl", 2, 0.8),
+    (r"libpng licen[sc]e", "libpng licen", "libpng", 2, 0.9),
+    (r"w3c software (?:notice and )?licen[sc]e", "w3c software", "w3c", 2, 0.95),
+    (r"university of illinois (?:ncsa )?open source licen[sc]e", "university of illinois", "ncsa", 2, 0.95),
+    (r"nasa open source agreement", "nasa open source", "nasa", 2, 0.95),
+    (r"intel open source licen[sc]e", "intel open source", "intel", 2, 0.9),
+    (r"sun public licen[sc]e", "sun public", "spl", 2, 0.9),
+    (r"ibm public licen[sc]e", "ibm public", "ipl", 2, 0.95),
+    (r"common public licen[sc]e", "common public licen", "cpl", 2, 0.9),
+    (r"common public attribution licen[sc]e", "common public attribution", "cpal", 2, 0.95),
+    (r"q public licen[sc]e", "q public", "qpl", 2, 0.95),
+    (r"cecill(?: [bc])?", "cecill", "cecill", 2, 0.8),
+    (r"open data commons(?: attribution| open database)? licen[sc]e", "open data commons", "odc", 2, 0.9),
+    (r"open government licen[sc]e(?: v?[0-9](?: 0)?)?", "open government", "ogl", 2, 0.9),
+    (r"openrail(?: [ms])?", "openrail", "openrail", 2, 0.8),
+    (r"llama [0-9](?: [0-9])? community licen[sc]e", "community licen", "llama", 2, 0.9),
+    (r"beerware(?: licen[sc]e)?", "beerware", "beerware", 2, 0.9),
+    # other statements about rights
     (r"all rights reserved", "rights reserved", "reserved", 2, 0.7),
     (r"no rights reserved", "rights reserved", "public-domain", 2, 0.8),
     (r"some rights reserved", "rights reserved", "some-reserved", 2, 0.6),
-    (r"(?:released|dedicated|placed) (?:in|in to|into|to) the public domain", "public domain", "public-domain", 1, 0.95),
     (r"public domain", "public domain", "public-domain", 3, 0.5),
     (r"copyright (?:c )?[0-9]{{4}}(?: [0-9]{{4}})*", "copyright", "copyright", 3, 0.5),
     (r"general public license", "general public license", "gpl", 3, 0.8),
-    (r"permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted", "mit", 1, 1.0),
-    (r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use", "bsd", 1, 1.0),
-    (r"permission to use copy modify and or distribute this software for any purpose", "permission to use copy", "isc", 1, 1.0),
-    (r"this is free and unencumbered software released into the public domain", "unencumbered", "unlicense", 1, 1.0),
     (r"confidential and proprietary", "proprietary", "proprietary", 2, 0.7),
+    (r"proprietary and confidential", "proprietary", "proprietary", 2, 0.7),
+    (r"unauthori[sz]ed (?:copying|reproduction|distribution)(?: of this [^ ]+)?(?: via any medium)? is (?:strictly )?prohibited", "prohibited", "proprietary", 1, 0.9),
+    (r"no part of this (?:publication|book|work|document) may be reproduced", "may be reproduced", "reserved", 1, 0.9),
+    (r"without (?:the )?(?:prior )?written permission of the (?:publisher|author|owner|copyright holder)", "written permission", "reserved", 2, 0.8),
+    (r"(?:reprinted|reproduced|used) (?:with|by) permission", "permission", "by-permission", 2, 0.7),
+    (r"for (?:personal|educational|academic|research|internal|non ?commercial) use only", "use only", "restricted-use", 2, 0.8),
+    (r"not for (?:commercial use|resale|redistribution|distribution)", "not for", "restricted-use", 2, 0.75),
+    (r"free for (?:personal|non ?commercial|educational) use", "free for", "restricted-use", 2, 0.75),
+    (r"royalty free", "royalty free", "royalty-free", 3, 0.4),
+    (r"open access article distributed under", "open access article", "open-access", 2, 0.8),
     (r"licen[sc]ed under the", "under the", "unknown-license", 3, 0.3),
 )
 
 
 def rules() -> list[dict]:
-    """All rules, by priority and then as written."""
+    """All rules in their order: by priority and then as written, single sentences before forms with a name."""
     found = []
+    for pattern, keyword, label, priority, weight in _NOTICES:
+        found.append({"label": label, "priority": priority, "weight": weight, "keyword": keyword, "regex": pattern.format()})
     for pattern, priority, weight in _FORMS:
         for name, keyword, label in _NAMES:
             found.append({"label": label, "priority": priority, "weight": weight, "keyword": keyword, "regex": pattern.format(n=name, v=_VERSION)})
-    for pattern, keyword, label, priority, weight in _NOTICES:
-        found.append({"label": label, "priority": priority, "weight": weight, "keyword": keyword, "regex": pattern.format()})
-    for rule in found:
-        rule["regex"] = f"(?<= ){rule['regex']}(?= )"
-    return sorted(found, key=lambda r: r["priority"])
+    found.sort(key=lambda r: r["priority"])
+    for nth, rule in enumerate(found):
+        rule |= {"nth": nth, "regex": f"(?<= ){rule['regex']}(?= )"}
+    return found
 
 
 #: One of these must occur in a text's words before any rule is tried in it: every rule's keyword.
@@ -132,11 +254,11 @@ def words_text(text: Column) -> Column:
 
 
 def _detections(words: Column) -> Column:
-    """Structs (start, -stop, priority, weight, label) of all rules' matches, containing intervals first."""
-    schema = "array<struct<label:string,priority:int,weight:double,keyword:string,regex:string>>"
+    """Structs (start, -stop, priority, nth, weight, label) of all rules' matches, containing intervals first."""
+    schema = "array<struct<label:string,priority:int,nth:int,weight:double,keyword:string,regex:string>>"
     table = F.from_json(F.lit(json.dumps(rules())), schema)
     usable = F.filter(table, lambda r: F.contains(words, r["keyword"]))
-    found = F.flatten(F.transform(usable, lambda r: F.transform(matches(words, r["regex"]), lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("back"), r["priority"].alias("priority"), r["weight"].alias("weight"), r["label"].alias("label")))))
+    found = F.flatten(F.transform(usable, lambda r: F.transform(matches(words, r["regex"]), lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("back"), r["priority"].alias("priority"), r["nth"].alias("nth"), r["weight"].alias("weight"), r["label"].alias("label")))))
     return F.array_sort(found)
 
 
