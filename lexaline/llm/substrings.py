@@ -2,15 +2,19 @@
 
 1. Anchors. A hash of every 32-byte string is taken from prefix polynomial hashes; the least ones of each 100-byte
    string's 32-byte strings are its anchors. Equal strings have equal anchors at equal places, so only anchors move
-   between tasks, some 3 % of the places. Each brings the hash of its context: all bytes that a 100-byte string around
-   it can cover. Of equal contexts all but the earliest are covered wholly; most are found before the shuffle, inside
-   the batch of texts that holds both.
-2. Where an anchor's hash has several contexts, the earliest of each context is compared byte by byte: the bytes right
-   and left of the anchors are sorted by a mergesort whose comparisons find the common extension by binary search over
-   prefix polynomial hashes, verified on the bytes. Depths of common extension give classes: two strings around an anchor
-   are equal if both their left and their right parts are in one class. Of each pair of classes the earliest stays.
-3. Very many contexts of one anchor (more than ``MAX_CONTEXTS``) are not gathered: each of their strings goes to the
-   task of its own hash, the earliest of a batch only, and there the earliest of all stays.
+   between tasks, some 3 % of the places. The context of an anchor is all bytes that a 100-byte string around it can
+   cover. Inside a batch of texts, of equal contexts only the earliest moves on, once the bytes are found to be equal;
+   the others are covered wholly. Anchors whose hash no other place has can't be in a repeated string.
+2. All other anchors bring the bytes of their contexts. Of contexts with equal bytes the earliest stays. Different ones
+   of one anchor go through a suffix sort: the bytes right and left of the anchors are sorted by a mergesort whose
+   comparisons find the common extension by binary search over prefix polynomial hashes, verified on the bytes. Depths of
+   common extension give classes: two strings around an anchor are equal if both their left and their right parts are in
+   one class. Of each pair of classes the earliest stays.
+3. An anchor of very many places (``MAX_PLACES``, or ``CROWD`` different contexts in one batch of texts) would be one
+   task's work. Its 100-byte strings go to the tasks of their own hashes instead, the earliest of a batch only, and there
+   the earliest of all strings with equal bytes stays. Both ways give the same result.
+
+Hashes only bring candidates together: no byte is removed before bytes were compared.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaline.llm.storage import materialize
@@ -30,12 +35,18 @@ ANCHOR = 32
 SIDE = LENGTH - ANCHOR
 #: Bytes of text that are hashed together; longer texts are cut with an overlap of two strings.
 BATCH_BYTES = 1 << 20
-MAX_CONTEXTS = 1 << 15
+#: Places of one anchor hash up to which one task compares them, and different contexts of one in a batch of texts.
+MAX_PLACES = 1 << 12
+CROWD = 64
+#: Tasks that share the places of a crowded anchor.
+SPREAD = 1021
+#: Ids with several rows up to which their table is broadcast.
+BROADCAST_IDS = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Bits of a place's ``meta``: text tie, offset, bytes left and right of the anchor that its context has.
-_TIE, _AT, _LEFT = 46, 14, 7
+#: Bits of a place's ``meta``: offset, bytes left and right of the anchor that its context has.
+_AT, _LEFT = 14, 7
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +121,10 @@ def anchors(data: np.ndarray, first: np.ndarray, last: np.ndarray):
     return at, text, grams[at], context, left, right
 
 
-def _pieces(ids: list, ties: list, texts: list) -> Iterator[list[tuple[int, int, int, bytes]]]:
-    """Batches of (id, tie, offset, bytes); a piece of a long text starts two strings before the end of the one before."""
+def _pieces(texts: list[str]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Batches of (row, offset, bytes); a piece of a long text starts two strings before the end of the one before."""
     batch, size = [], 0
-    for i, tie, text in zip(ids, ties, texts):
+    for row, text in enumerate(texts):
         raw = text.encode("utf-8", "replace")
         step = BATCH_BYTES - 2 * LENGTH
         for at in range(0, max(1, len(raw) - 2 * LENGTH), step):
@@ -121,7 +132,7 @@ def _pieces(ids: list, ties: list, texts: list) -> Iterator[list[tuple[int, int,
             if size and size + len(piece) > BATCH_BYTES:
                 yield batch
                 batch, size = [], 0
-            batch.append((i, tie, at, piece))
+            batch.append((row, at, piece))
             size += len(piece)
     if batch:
         yield batch
@@ -138,139 +149,169 @@ def _runs(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return key[where], start[where], np.maximum.reduceat(stop, where)
 
 
-_PLACES = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("meta", pa.int64()), ("stop", pa.int32())])
+def _differs(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in any of the columns; the first one does."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out) > 1:
+        out[1:] = columns[0][1:] != columns[0][:-1]
+        for c in columns[1:]:
+            out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] and data[b : b + size] are equal, for arrays of places."""
+    same = np.ones(len(a), bool)
+    for k in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        same[at] &= data[a[at] + k] == data[b[at] + k]
+    return same
+
+
+#: ``id``, ``t1`` and ``t2`` name a document. ``stop`` is 0 for an anchor, the end of a covered run, or -1 for the note that
+#: an anchor hash is crowded; crowded anchors have a positive ``spread``.
+_PLACES = pa.schema([("h", pa.int64()), ("spread", pa.int32()), ("c", pa.int64()), ("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("meta", pa.int64()), ("stop", pa.int32())])
+PLACES = "h bigint, spread int, c bigint, id bigint, t1 bigint, t2 bigint, meta bigint, stop int"
+PLACE_ORDER = ("h", "spread", "stop", "c", "id", "t1", "t2", "meta")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, c, id, meta, stop) of anchors, stop 0; and of runs covered inside the batch, whose stop is not 0."""
+    """From rows (id, t1, t2, text): their anchors, and the runs that are covered inside a batch of texts."""
     for table in batches:
-        ids, ties, texts = (table.column(k).to_pylist() for k in range(3))
-        for batch in _pieces(ids, ties, texts):
-            lengths = np.array([len(p[3]) for p in batch])
+        names = [table.column(k).to_numpy() for k in range(3)]
+        for batch in _pieces(table.column(3).to_pylist()):
+            lengths = np.array([len(p[2]) for p in batch])
             last = np.cumsum(lengths)
             first = last - lengths
-            got = anchors(np.frombuffer(b"".join(p[3] for p in batch), np.uint8), first, last)
+            data = np.frombuffer(b"".join(p[2] for p in batch), np.uint8)
+            got = anchors(data, first, last)
             if got is None or not len(got[0]):
                 continue
             at, text, h, c, left, right = got
-            doc = np.array([p[0] for p in batch], np.int64)[text]
-            tie = np.array([p[1] for p in batch], np.int64)[text]
-            place = np.array([p[2] for p in batch], np.int64)[text] + at - first[text]
-            meta = tie << _TIE | place << _AT | left << _LEFT | right
+            row = np.array([p[0] for p in batch])[text]
+            doc, t1, t2 = (n[row] for n in names)
+            place = np.array([p[1] for p in batch], np.int64)[text] + at - first[text]
+            meta = place << _AT | left << _LEFT | right
             h, c = h.view(np.int64), c.view(np.int64)
-            order = np.lexsort((meta, doc, c, h))
+            order = np.lexsort((meta, t2, t1, doc, c, h))
             # pieces of a text overlap and rows may be repeated: a place counts once
-            once = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (meta[order][1:] != meta[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
-            order = order[once]
-            same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])))
-            keep = order[~same]
-            yield pa.record_batch([h[keep], c[keep], doc[keep], meta[keep], np.zeros(len(keep), np.int32)], schema=_PLACES)
-            gone = order[same]
+            order = order[_differs(h[order], doc[order], t1[order], t2[order], meta[order])]
+            alike = ~_differs(h[order], c[order], left[order], right[order])
+            later = np.flatnonzero(alike)
+            a, b = order[later - 1], order[later]
+            alike[later] = _equal_bytes(data, at[a] - left[a], at[b] - left[b], left[b] + ANCHOR + right[b])
+            keep, gone = order[~alike], order[alike]
+            # anchors of very many contexts
+            opens = np.flatnonzero(_differs(h[keep]))
+            many = np.diff(np.append(opens, len(keep))) >= CROWD
+            spread = np.where(np.repeat(many, np.diff(np.append(opens, len(keep)))), 1 + c[keep] % SPREAD, 0).astype(np.int32)
+            yield pa.record_batch([h[keep], spread, c[keep], doc[keep], t1[keep], t2[keep], meta[keep], np.zeros(len(keep), np.int32)], schema=_PLACES)
+            if many.any():
+                note = keep[opens[many]]
+                zero = np.zeros(len(note), np.int64)
+                yield pa.record_batch([h[note], zero.astype(np.int32), zero, zero, zero, zero, zero, zero.astype(np.int32) - 1], schema=_PLACES)
             if len(gone):
-                gone = gone[np.lexsort((meta[gone], doc[gone]))]
-                owner = np.cumsum(np.concatenate(([True], (doc[gone][1:] != doc[gone][:-1]) | (tie[gone][1:] != tie[gone][:-1])))) - 1
-                key, start, stop = _runs(owner, place[gone] - left[gone], place[gone] + ANCHOR + right[gone])
-                who = gone[np.searchsorted(owner, key)]
-                yield pa.record_batch([mixed(doc[who].view(np.uint64) + start.astype(np.uint64)).view(np.int64), np.zeros(len(who), np.int64), doc[who], tie[who] << _TIE | start << _AT, stop.astype(np.int32)], schema=_PLACES)
+                gone = gone[np.lexsort((meta[gone], row[gone]))]
+                key, start, stop = _runs(row[gone], place[gone] - left[gone], place[gone] + ANCHOR + right[gone])
+                anywhere = mixed(key.astype(np.uint64) ^ start.astype(np.uint64) << np.uint64(20)).view(np.int64)
+                yield pa.record_batch([anywhere, np.zeros(len(key), np.int32), np.zeros(len(key), np.int64), names[0][key], names[1][key], names[2][key], start << _AT, stop.astype(np.int32)], schema=_PLACES)
 
 
-_FOUND = pa.schema([("id", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("h", pa.int64()), ("many", pa.bool_())])
+#: Covered runs (h null), and anchors whose contexts are to be compared (h set; start is the anchor, stop the bytes at
+#: its left and right).
+_FOUND = pa.schema([("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h", pa.int64()), ("many", pa.bool_())])
+FOUND = "id bigint, t1 bigint, t2 bigint, start int, stop int, h bigint, many boolean"
 
 
-def _unpack(meta: np.ndarray):
-    return meta >> _TIE, meta >> _AT & 0xFFFFFFFF, meta >> _LEFT & 127, meta & 127
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From places in PLACE_ORDER: the anchors whose hash is not alone. One hash's first MAX_PLACES places are held."""
+    held: list[np.ndarray] = []  # the places of the last hash, while it may still be alone or become crowded
+    last: tuple | None = None  # its hash and spread
+    crowded = False
+    before: tuple = ()
 
+    def out(h, doc, t1, t2, meta, many) -> pa.RecordBatch:
+        sides = (meta & ((1 << _AT) - 1)).astype(np.int32)
+        return pa.record_batch([doc, t1, t2, (meta >> _AT).astype(np.int32), sides, h, many], schema=_FOUND)
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From places sorted by (h, c, id, meta): covered runs (h null), and the earliest place of each context of an
-    anchor hash that has several contexts (h set; start is the anchor, stop its left and right bytes)."""
-    held: list[np.ndarray] | None = None
-    crowded: int | None = None  # an anchor hash whose first MAX_CONTEXTS contexts have gone out already
-    before: tuple = ()  # the (h, c, id, meta) that ended the rows so far
-
-    def settle(h, doc, meta, end: bool):
-        """Rows for the places (first of their contexts) whose groups are complete; the rest is held."""
-        nonlocal held, crowded
-        if not len(h):
-            return
-        bounds = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        sizes = np.diff(np.append(bounds, len(h)))
-        cut = len(h) if end else bounds[-1]
-        many = np.repeat(sizes > MAX_CONTEXTS, sizes)
-        if crowded is not None:
-            many |= h == crowded
-        if not end and len(h) - cut > MAX_CONTEXTS:
-            crowded, cut = int(h[-1]), len(h)
-        elif crowded is not None and (end or h[-1] != crowded):
-            crowded = None
-        elif crowded is not None:
-            cut = len(h)
-        several = np.repeat(sizes > 1, sizes) | many
-        held = None if cut == len(h) else [h[cut:], doc[cut:], meta[cut:]]
-        out = np.flatnonzero(several[:cut])
-        if len(out):
-            tie, at, left, right = _unpack(meta[out])
-            yield pa.record_batch([doc[out], tie.astype(np.int32), at.astype(np.int32), (left << _LEFT | right).astype(np.int32), pa.array(h[out]), many[out]], schema=_FOUND)
+    def settled() -> Iterator[pa.RecordBatch]:
+        if held and (crowded or len(held[0]) > 1):
+            yield out(*held, np.full(len(held[0]), crowded))
 
     for table in batches:
-        h, c, doc, meta, stop = (table.column(k).to_numpy() for k in range(5))
-        ready = np.flatnonzero(stop)
+        h, spread, _, doc, t1, t2, meta, stop = (table.column(k).to_numpy() for k in range(8))
+        ready = np.flatnonzero(stop > 0)
         if len(ready):
-            tie, start, _, _ = _unpack(meta[ready])
-            yield pa.record_batch([doc[ready], tie.astype(np.int32), start.astype(np.int32), stop[ready], pa.nulls(len(ready), pa.int64()), np.zeros(len(ready), bool)], schema=_FOUND)
-        keep = np.flatnonzero(stop == 0)
-        if not len(keep):
+            yield pa.record_batch([doc[ready], t1[ready], t2[ready], (meta[ready] >> _AT).astype(np.int32), stop[ready], pa.nulls(len(ready), pa.int64()), np.zeros(len(ready), bool)], schema=_FOUND)
+        rest = np.flatnonzero(stop <= 0)
+        if not len(rest):
             continue
-        h, c, doc, meta = h[keep], c[keep], doc[keep], meta[keep]
-        fresh = np.concatenate(([before[:2] != (int(h[0]), int(c[0]))], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-        twice = np.concatenate(([before == (int(h[0]), int(c[0]), int(doc[0]), int(meta[0]))], (doc[1:] == doc[:-1]) & (meta[1:] == meta[:-1])))
-        before = (int(h[-1]), int(c[-1]), int(doc[-1]), int(meta[-1]))
-        gone = np.flatnonzero(~fresh & ~twice)
-        if len(gone):
-            tie, at, left, right = _unpack(meta[gone])
-            yield pa.record_batch([doc[gone], tie.astype(np.int32), (at - left).astype(np.int32), (at + ANCHOR + right).astype(np.int32), pa.nulls(len(gone), pa.int64()), np.zeros(len(gone), bool)], schema=_FOUND)
-        h, doc, meta = h[fresh], doc[fresh], meta[fresh]
-        if held is not None:
-            h, doc, meta = (np.concatenate(x) for x in zip(held, (h, doc, meta)))
-            held = None
-        yield from settle(h, doc, meta, False)
-    if held is not None:
-        yield from settle(*held, True)
-
-
-_CONTEXTS = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("id", pa.int64()), ("tie", pa.int32()), ("at", pa.int32()), ("left", pa.int32()), ("context", pa.binary())])
+        h, spread, doc, t1, t2, meta, stop = (x[rest] for x in (h, spread, doc, t1, t2, meta, stop))
+        twice = ~_differs(h, doc, t1, t2, meta, stop)  # repeated rows of the input
+        row = (int(h[0]), int(doc[0]), int(t1[0]), int(t2[0]), int(meta[0]), int(stop[0]))
+        twice[0] = row == before
+        before = (int(h[-1]), int(doc[-1]), int(t1[-1]), int(t2[-1]), int(meta[-1]), int(stop[-1]))
+        starts = np.flatnonzero(_differs(h, spread))
+        ends = np.append(starts[1:], len(h))
+        if len(starts) > 2:  # the groups that are whole in this batch, all together
+            inner = slice(starts[1], starts[-1])
+            sizes = np.diff(starts[1:])
+            noted = np.add.reduceat(stop[inner] < 0, starts[1:-1] - starts[1]) > 0
+            real = (stop[inner] == 0) & ~twice[inner]
+            count = np.add.reduceat(real.astype(np.int64), starts[1:-1] - starts[1])
+            many = np.repeat(noted | (spread[starts[1:-1]] > 0) | (count > MAX_PLACES), sizes)
+            take = np.flatnonzero(real & (many | (np.repeat(count, sizes) > 1)))
+            if len(take):
+                yield out(*(x[inner][take] for x in (h, doc, t1, t2, meta)), many[take])
+        for lo, hi in dict.fromkeys(((starts[0], ends[0]), (starts[-1], ends[-1]))):
+            key = (int(h[lo]), int(spread[lo]))
+            if key != last:
+                yield from settled()
+                held, last, crowded = [], key, key[1] > 0
+            crowded = crowded or bool((stop[lo:hi] < 0).any())
+            real = lo + np.flatnonzero((stop[lo:hi] == 0) & ~twice[lo:hi])
+            new = [x[real] for x in (h, doc, t1, t2, meta)]
+            held = [np.concatenate(x) for x in zip(held, new)] if held else new
+            crowded = crowded or len(held[0]) > MAX_PLACES
+            if crowded:
+                yield from settled()
+                held = []
+    yield from settled()
+
+
+#: Contexts of anchors, and single strings of crowded anchors (left -1); covered runs have no context.
+_CONTEXTS = pa.schema([("h", pa.int64()), ("left", pa.int32()), ("context", pa.binary()), ("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("at", pa.int32())])
+CONTEXTS = "h bigint, left int, context binary, id bigint, t1 bigint, t2 bigint, at int"
+CONTEXT_ORDER = ("h", "left", "context", "id", "t1", "t2", "at")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From texts with their wanted anchors: a row with the context's bytes; of crowded anchors one row for each string
-    around them, the earliest of the batch only, and covered runs (context null, h null) for the rest."""
+    around them, the earliest of the batch only, and covered runs for the rest."""
     for table in batches:
         rows: list[tuple] = []
-        crowd: list[tuple] = []
-        for doc, tie, text, wanted in zip(*(table.column(k).to_pylist() for k in range(4))):
+        strings: dict[bytes, tuple] = {}
+        for doc, t1, t2, text, wanted in zip(*(table.column(k).to_pylist() for k in range(5))):
             raw = text.encode("utf-8", "replace")
             for x in wanted:
                 at, left, right = x["start"], x["stop"] >> _LEFT, x["stop"] & 127
-                (crowd if x["many"] else rows).append((x["h"], 0, doc, tie, at, left, raw[at - left : at + ANCHOR + right]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows), _CONTEXTS)], schema=_CONTEXTS)
-        strings: dict[tuple[int, bytes], tuple] = {}
-        over: list[tuple] = []
-        for h, _, doc, tie, at, left, context in crowd:
-            for a in range(max(0, SIDE - (len(context) - left - ANCHOR)), left + 1):
-                place = (doc, tie, at - a)
-                key = (a, context[left - a : left - a + LENGTH])
-                first = strings.get(key)
-                if place == first:
+                if not x["many"]:
+                    rows.append((x["h"], left, raw[at - left : at + ANCHOR + right], doc, t1, t2, at))
                     continue
-                if first is None or place < first:
-                    strings[key] = place
-                    place = first
-                if place is not None:
-                    over.append((None, 0, *place, 0, None))
-        more = [(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), int.from_bytes(hashlib.blake2b(s, digest_size=8, salt=b"second").digest(), "little", signed=True), *place, a, None) for (a, s), place in strings.items()]
-        if more or over:
-            yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*more, *over), _CONTEXTS)], schema=_CONTEXTS)
+                for a in range(max(0, SIDE - right), left + 1):
+                    place, key = (doc, t1, t2, at - a), raw[at - a : at - a + LENGTH]
+                    first = strings.setdefault(key, place)
+                    if place != first:
+                        strings[key] = min(first, place)
+                        rows.append((mixed_place(place), 0, None, *max(first, place)))
+        rows += [(xxhash.xxh64_intdigest(key) - (1 << 63), -1, key, *place) for key, place in strings.items()]
+        for at in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows[at : at + 10_000]), _CONTEXTS)], schema=_CONTEXTS)
+
+
+def mixed_place(place: tuple) -> int:
+    """Any task will do for a covered run; this deals them out evenly."""
+    return hash(place) >> 1
 
 
 def common_extension(sums: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -377,58 +418,71 @@ def covered_strings(contexts: list[bytes], left: np.ndarray, group: np.ndarray,
             yield gone, np.full(len(gone), a)
 
 
-_COVERED = pa.schema([("id", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+_COVERED = pa.schema([("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 #: Contexts that are sorted together.
-SORTED_TOGETHER = 1 << 15
+SORTED_TOGETHER = 1 << 13
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered runs, from contexts and single strings sorted by (h, w, id, tie, at)."""
-    held: list[pa.RecordBatch] = []
+    """Covered runs, from contexts and single strings in CONTEXT_ORDER."""
+    held: list[pa.RecordBatch] = []  # different contexts of anchors
+    size = 0
     before: tuple = ()
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, doc, tie, at, left = (table.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
-        bounds = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        group = np.repeat(np.arange(len(bounds)), np.diff(np.append(bounds, len(h))))
-        order = np.lexsort((at, tie, doc))
+        h, left, doc, t1, t2, at = (table.column(k).to_numpy() for k in (0, 1, 3, 4, 5, 6))
+        opens = _differs(h)
+        sizes = np.diff(np.append(np.flatnonzero(opens), len(h)))
+        several = np.repeat(sizes > 1, sizes)  # an anchor whose contexts were all equal needs no sort
+        if not several.any():
+            return
+        h, left, doc, t1, t2, at = (x[several] for x in (h, left, doc, t1, t2, at))
+        order = np.lexsort((at, t2, t1, doc))
         rank = np.empty(len(h), np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], (doc[order][1:] != doc[order][:-1]) | (tie[order][1:] != tie[order][:-1]) | (at[order][1:] != at[order][:-1]))))
-        found = list(covered_strings(table.column(6).to_pylist(), left.astype(np.int64), group, rank))
+        rank[order] = np.cumsum(_differs(doc[order], t1[order], t2[order], at[order]))
+        group = np.cumsum(_differs(h))
+        found = list(covered_strings(table.column(2).filter(pa.array(several)).to_pylist(), left.astype(np.int64), group, rank))
         if found:
             index = np.concatenate([f[0] for f in found])
             start = at[index].astype(np.int64) - np.concatenate([f[1] for f in found])
             by = np.lexsort((start, index))
             key, start, stop = _runs(index[by], start[by], start[by] + LENGTH)
-            yield pa.record_batch([doc[key], tie[key], start.astype(np.int32), stop.astype(np.int32)], schema=_COVERED)
+            yield pa.record_batch([doc[key], t1[key], t2[key], start.astype(np.int32), stop.astype(np.int32)], schema=_COVERED)
 
     for batch in batches:
-        none = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-        whole = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
-        over = batch.filter(pa.array(none))
-        if over.num_rows:
-            start = over.column(4).to_numpy()
-            yield pa.record_batch([over.column(2), over.column(3), over.column(4), start + np.int32(LENGTH)], schema=_COVERED)
-        single = batch.filter(pa.array(~none & ~whole))
-        if single.num_rows:
-            h, w, doc, tie, at = (single.column(k).to_numpy() for k in range(5))
-            fresh = np.concatenate(([before[:2] != (h[0], w[0])], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-            twice = np.concatenate(([before == (h[0], w[0], doc[0], tie[0], at[0])], (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (at[1:] == at[:-1])))
-            before = (h[-1], w[-1], doc[-1], tie[-1], at[-1])
-            gone = single.filter(pa.array(~fresh & ~twice))
-            if gone.num_rows:
-                start = gone.column(4).to_numpy()
-                yield pa.record_batch([gone.column(2), gone.column(3), gone.column(4), start + np.int32(LENGTH)], schema=_COVERED)
-        full = batch.filter(pa.array(whole))
-        if full.num_rows:
-            held.append(full)
-            if sum(b.num_rows for b in held) >= SORTED_TOGETHER:
+        none = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        if none.any():
+            over = batch.filter(pa.array(none))
+            start = over.column(6).to_numpy()
+            yield pa.record_batch([over.column(3), over.column(4), over.column(5), start, start + np.int32(LENGTH)], schema=_COVERED)
+            batch = batch.filter(pa.array(~none))
+        if not batch.num_rows:
+            continue
+        h, left, doc, t1, t2, at = (batch.column(k).to_numpy() for k in (0, 1, 3, 4, 5, 6))
+        context = batch.column(2).to_pylist()
+        bytes_differ = np.array([True, *(x != y for x, y in zip(context[1:], context))])
+        fresh = _differs(h, left) | bytes_differ
+        fresh[0] = before[:3] != (h[0], left[0], context[0])
+        twice = ~(fresh | _differs(doc, t1, t2, at))  # repeated rows of the input
+        twice[0] = before == (h[0], left[0], context[0], doc[0], t1[0], t2[0], at[0])
+        before = (h[-1], left[-1], context[-1], doc[-1], t1[-1], t2[-1], at[-1])
+        gone = np.flatnonzero(~fresh & ~twice)
+        if len(gone):
+            start = np.where(left[gone] < 0, at[gone], at[gone] - left[gone]).astype(np.int32)
+            stop = start + np.array([len(context[i]) for i in gone.tolist()], np.int32)
+            yield pa.record_batch([doc[gone], t1[gone], t2[gone], start, stop], schema=_COVERED)
+        whole = batch.filter(pa.array(fresh & (left >= 0)))
+        if whole.num_rows:
+            held.append(whole)
+            size += whole.num_rows
+            if size >= SORTED_TOGETHER:
                 table = pa.Table.from_batches(held).combine_chunks()
-                h = table.column(0).to_numpy()
-                cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+                anchor = table.column(0).to_numpy()
+                cut = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if anchor[0] != anchor[-1] else 0
                 if cut:
                     yield from solve(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
+                size = table.num_rows - cut
     if held:
         yield from solve(pa.Table.from_batches(held).combine_chunks())
 
@@ -462,33 +516,53 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows), _RESULT)], schema=_RESULT)
 
 
-def covered_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): rows (id, tie, text) of ``docs``, and rows (id, tie, start, stop) of bytes to remove, which overlap.
+def _tie(text: Column) -> tuple[Column, Column]:
+    """The two halves of the text's MD5 as longs."""
+    digest = F.md5(text.cast("binary"))
+    half = lambda k: (F.conv(F.substring(digest, k, 16), 16, 10).cast("decimal(20,0)") - F.expr(f"{1 << 63}").cast("decimal(20,0)")).cast("long")
+    return half(1), half(17)
 
-    ``tie`` orders texts of one id. Null ids come after all others and null texts count as empty.
-    """
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, t1, t2, text): ids with one row have ties of 0, all others a 128-bit digest of their text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ids = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    texts = docs.select(ids.alias("id"), F.xxhash64(text).bitwiseAND(0x1FFFF).cast("int").alias("tie"), text.alias("text"))
-    places = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_places, "h bigint, c bigint, id bigint, meta bigint, stop int")
-    sorted_places = places.repartition(F.col("h")).sortWithinPartitions("h", "c", "id", "meta")
-    found = materialize(sorted_places.mapInArrow(_classes, "id bigint, tie int, start int, stop int, h bigint, many boolean"), "substrings-found")
-    wanted = found.where("h is not null").groupBy("id", "tie").agg(F.collect_list(F.struct("start", "stop", "h", "many")).alias("wanted"))
-    contexts = texts.join(wanted, ["id", "tie"]).select("id", "tie", "text", "wanted").mapInArrow(_contexts, "h bigint, w bigint, id bigint, tie int, at int, left int, context binary")
-    spread = contexts.repartition(F.coalesce("h", F.xxhash64("id", "at"))).sortWithinPartitions("h", "w", "id", "tie", "at")
-    compared = materialize(spread.mapInArrow(_compare, "id bigint, tie int, start int, stop int"), "substrings-compared")
-    return texts, found.where("h is null").select("id", "tie", "start", "stop").unionByName(compared)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    several = materialize(rows.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("key"), F.lit(True).alias("several")), "substrings-ids")
+    n = several.limit(BROADCAST_IDS + 1).count()
+    if n:
+        # null ids are dealt out by their texts, and tied in any case
+        keyed = rows.withColumn("key", F.coalesce("id", F.xxhash64("text")))
+        rows = keyed.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "key", "left")
+    tied = F.col("id").isNull() | (F.coalesce(F.col("several"), F.lit(False)) if n else F.lit(False))
+    t1, t2 = (F.when(tied, t).otherwise(F.lit(0).cast("long")) for t in _tie(F.col("text")))
+    return rows.select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), t1.alias("t1"), t2.alias("t2"), "text")
+
+
+def covered_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(texts, runs): rows (id, t1, t2, text) of ``docs``, and rows (id, t1, t2, start, stop) of bytes to remove, which
+    overlap. ``t1`` and ``t2`` tell the texts of one id apart and order them."""
+    names = ["id", "t1", "t2"]
+    texts = named(docs, id_col, text_col)
+    places = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_places, PLACES)
+    sorted_places = places.repartition("h", "spread").sortWithinPartitions(*PLACE_ORDER)
+    found = materialize(sorted_places.mapInArrow(_repeated, FOUND), "substrings-found")
+    wanted = found.where("h is not null").groupBy(*names).agg(F.collect_list(F.struct("start", "stop", "h", "many")).alias("wanted"))
+    contexts = texts.join(wanted, names).select(*names, "text", "wanted").mapInArrow(_contexts, CONTEXTS)
+    spread = contexts.repartition("h").sortWithinPartitions(*CONTEXT_ORDER)
+    compared = materialize(spread.mapInArrow(_compare, "id bigint, t1 bigint, t2 bigint, start int, stop int"), "substrings-compared")
+    return texts, found.where("h is null").select(*names, "start", "stop").unionByName(compared)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept_sha256), one for each row of ``docs``.
 
-    Texts of one id count as different documents, in the order of a hash of their text; repeated rows (equal id and
-    text) count as one document and have equal results. Null texts count as empty, null ids come last; other columns
-    are ignored. Places beyond 2^32 bytes are not supported.
+    Texts of one id count as different documents, in the order of a 128-bit digest of their text; repeated rows (equal
+    id and text) count as one document and have equal results. Null texts count as empty, null ids come last and are told
+    apart by their texts; other columns are ignored. An empty table gives an empty result.
     """
+    names = ["id", "t1", "t2"]
     texts, runs = covered_runs(docs, id_col, text_col)
-    by_text = runs.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    joined = texts.join(by_text, ["id", "tie"], "left").select("id", "text", "runs")
+    by_text = runs.groupBy(*names).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    joined = texts.join(by_text, names, "left").select("id", "text", "runs")
     result = joined.mapInArrow(_summaries, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return result.select(F.nullif(F.col("id"), F.lit((1 << 63) - 1)).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
