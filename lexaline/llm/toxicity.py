@@ -92,28 +92,45 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
 
     Labels other than 0 and 1 and null ids don't count; of repeated labels of one id the toxic one does. Null texts
     count as empty, repeated rows count as often as they occur. Without examples of both labels, as with empty tables,
-    the model gives every text the share of toxic labels (0 without any). The driver holds the bit maps of the sample.
+    the model gives every text the share of toxic labels (0 without any). The driver gets the
+    counts of each task and, of each row of the sample, the n-grams that count.
     """
     clean = materialize(labelled(labels), "toxicity-labels")
     counts = {r["label"]: r["count"] for r in clean.groupBy("label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     sample = materialize(sample_labelled(docs, clean, per_class).mapInPandas(_packed, "label int, grams binary"), "toxicity-sample")
-    rows = sample.orderBy("label", F.xxhash64("grams")).toPandas()  # the bounded sample
+    n_rows = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n_pos, n_neg = n_rows.get(1, 0), n_rows.get(0, 0)
     weights = np.zeros(BUCKETS, np.float32)
-    y = rows["label"].to_numpy(np.float64)
-    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     if not n_pos or not n_neg:
         prior = min(max(share, 1e-6), 1 - 1e-6)
         return ToxicityModel(weights, float(np.log(prior / (1 - prior))))
     counts = np.zeros((2, BUCKETS), np.int64)
-    for label, g in zip(y.astype(int), rows["grams"]):
-        counts[label] += _bits(g)
+    for r in sample.mapInPandas(_counted, "label int, counts binary").toLocalIterator():  # two rows a task
+        counts[r["label"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int32)
     ratio = log_count_ratios(counts, n_neg, n_pos, sure)
-    wanted = ratio != 0
-    x = [np.flatnonzero(_bits(g) & wanted) for g in rows["grams"]]
+    wanted = np.flatnonzero(ratio)
+
+    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"label": batch["label"], "at": [np.flatnonzero(_bits(g)[wanted]).astype(np.int32).tobytes() for g in batch["grams"]]})
+
+    rows = sample.mapInPandas(columns, "label int, at binary").orderBy("label", F.xxhash64("at")).toPandas()  # the bounded sample
+    y = rows["label"].to_numpy(np.float64)
+    x = [np.frombuffer(at, np.int32) for at in rows["at"]]
     weight = np.where(y == 1, max(share, 1e-3) / n_pos, (1 - max(share, 1e-3)) / n_neg)
-    w, bias = _logistic(x, ratio, y, weight / weight.sum(), rounds, l2)
-    return ToxicityModel((w * ratio).astype(np.float32), bias)
+    w, bias = _logistic(x, ratio[wanted], y, weight / weight.sum(), rounds, l2)
+    weights[wanted] = w * ratio[wanted]
+    return ToxicityModel(weights, bias)
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(label, counts): how many of a task's rows of each label have each bucket."""
+    counts = np.zeros((2, BUCKETS), np.int32)
+    for batch in batches:
+        for label, g in zip(batch["label"], batch["grams"]):
+            counts[label] += _bits(g)
+    yield pd.DataFrame({"label": [0, 1], "counts": [zlib.compress(c.tobytes(), 1) for c in counts]})
 
 
 def _bits(grams: bytes) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, on texts with nulls, empties, ties, copies and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -449,6 +450,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert plain.weights.sum() == 0 and toxicity.score(plain, "any") < 0.5
 
 
+def test_ratios_by_brute_force(spark):
+    import numpy as np
+
+    r = random.Random(19)
+    rows = [(i, words(r, 30, "mnop") + (" vil" * (i % 3 == 0)), int(i % 3 == 0)) for i in range(60)]
+    grams = [{int(b) for part in toxicity.ngram_buckets(t) for b in part} for _, t, _ in rows]
+    packed = list(toxicity._packed(iter([toxicity.pd.DataFrame({"text": [t for _, t, _ in rows], "label": [y for *_, y in rows]})])))
+    counts = np.zeros((2, toxicity.BUCKETS), np.int64)
+    for part in toxicity._counted(iter(packed)):
+        for label, c in zip(part["label"], part["counts"]):
+            counts[label] += np.frombuffer(toxicity.zlib.decompress(c), np.int32)
+    ratio = toxicity.log_count_ratios(counts, 40, 20, 3.0)
+    for b in {b for g in grams for b in g} | {1, 2}:
+        pos, neg = (sum(b in g and y == label for g, (*_, y) in zip(grams, rows)) for label in (1, 0))
+        plain = math.log((pos + 1) / 22 / ((neg + 1) / 42))
+        error = math.sqrt(1 / (pos + 1) + 1 / (neg + 1))
+        assert ratio[b] == pytest.approx(math.copysign(max(0, abs(plain) - 3 * error), plain), abs=1e-9)
+    assert np.count_nonzero(ratio) and toxicity.present("ab") is not None
+
+
 # ---- secrets
 
 
