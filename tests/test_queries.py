@@ -7,12 +7,12 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from lexaline.catalog import ORACLES, QUERIES
 from lexaline.models import evaluation as E
 from lexaline.models import learners
 from lexaline.operators import relational as R
-from lexaline.oracles import ORACLES
 from lexaline.plans import registry, store
-from lexaline.queries import NUMERIC, QUERIES, _model_rows
+from lexaline.queries import NUMERIC, _model_rows
 from lexaline.sources import tables as S
 
 
