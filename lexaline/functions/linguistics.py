@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+
 import re
 
 import pandas as pd
@@ -131,39 +132,6 @@ def normalize(text: Column) -> Column:
     return stem_words(normalize_rules(text))
 
 
-#: What introduces a qualification, with the groups before it that stay; and words no title ends in.
-_CUTS = ((r" - \S+\s*\S*\s*\S*\s*$", 0), (r" - \D", 0), (r"(\S+), ", 1), (" [uU]p [tT]o ", 0), (",* [wW]ith ", 0), (r"([^\d\s]+) [iI]n ", 1), (",* [wW]ith ", 0))
-_LAST = re.compile(r"L|W|O\.D\.|OD|O\.C\.|OC|in\.|lb\.|lbs\.|x|\d+[/\d]*|ft\.\.|ft\.|Lumens|CRI|Thick|\+|AWG|oz.|\d+\s+Gauge|and|\S+-\S+")
-_ENDINGS = (r"\([^\)]*\)", r"-DISCONTINUED$", " [wW]ith .* [aA]nd .*$", " [fF]or .*$", " [iI]ncludes .*$", " [wW]ithout .*$", r" - .* [nN]ot [iI]ncluded\s*$")
-
-
-def head_of(title: str) -> str:
-    """The phrase that names the product: qualifications go while what stays is no shorter than what goes."""
-    for pattern in _ENDINGS:
-        title = re.sub(pattern, "", title)
-    title = title.replace("  ", " ")
-    for pattern, kept in _CUTS:
-        found = [*re.finditer(pattern, title)]
-        while found:
-            head = title[: found[-1].start()] + "".join(found[-1].group(i) for i in range(1, kept + 1))
-            if 2 * len(head.split()) + 1 < len(title.split()):
-                break
-            title = head
-            found = [*re.finditer(pattern, title)] if pattern.endswith("$") else found[:-1]
-    words = title.split()
-    while words and _LAST.fullmatch(words[-1]):
-        words.pop()
-    return " ".join(words)
-
-
-def head_phrase(title: Column) -> Column:
-    @F.pandas_udf("string")
-    def heads(batch: pd.Series) -> pd.Series:
-        return pd.Series([head_of(t or "") for t in batch], dtype=object)
-
-    return heads(title)
-
-
 def split_by(query: str, title: str) -> str:
     """Query words of over three letters split greedily into title words of over two; a remainder stays as a word."""
     parts = sorted({w for w in title.split() if len(w) > 2}, key=lambda w: (-len(w), w))

@@ -194,14 +194,75 @@ def n_words(text: Column) -> Column:
     return F.size(tokens(text))
 
 
+#: Ends of titles that say nothing of the product; what introduces a qualification, in the order in which it
+#: is looked for; and units, numbers and other words that no product's name ends in.
+TITLE_ENDINGS = (r"\([^\)]*\)", r"-DISCONTINUED$", r" [Ww]ith .* [Aa]nd .*$", r" [Ff]or .*$", r" [Ii]ncludes .*$", r" [Ww]ithout .*$", r" - .* [Nn]ot [Ii]ncluded\s*$")
+SHORT_TAIL = r" - \S+\s*\S*\s*\S*\s*$"
+TITLE_CUES = (r" - (?=\D)", r"(?<=\S), ", " [uU]p [tT]o ", ",* [wW]ith ", r"(?<=[^\d\s]) [iI]n ", ",* [wW]ith ")
+TITLE_LAST = r"L|W|O\.D\.|OD|O\.C\.|OC|in\.|lb\.|lbs\.|x|\d+[/\d]*|ft\.\.|ft\.|Lumens|CRI|Thick|\+|AWG|oz.|\d+ Gauge|and|\S+-\S+"
+
+
 def title_prefix_rules(title: Column) -> Column:
     """The title without brackets and trailing qualifications, before the word-by-word cuts of head_phrase()."""
-    endings = (r"\([^\)]*\)", r"-DISCONTINUED$", r" [Ww]ith .* [Aa]nd .*$", r" [Ff]or .*$", r" [Ii]ncludes .*$", r" [Ww]ithout .*$", r" - .* [Nn]ot [Ii]ncluded\s*$")
-    for p in endings:
+    for p in TITLE_ENDINGS:
         title = F.regexp_replace(title, p, "")
     return F.replace(title, F.lit("  "), F.lit(" "))
 
 
+def _long_enough(head: Column, title: Column) -> Column:
+    """What is left must not be shorter than what goes."""
+    return 2 * n_words(head) + 1 >= n_words(title)
+
+
+def _heads(title: Column, cue: str) -> Column:
+    """What stands before each place of the cue, the longest first."""
+    parts = F.flatten(F.zip_with(F.split(title, cue, -1), F.regexp_extract_all(title, F.lit(cue), F.lit(0)), lambda part, at: F.array(part, F.coalesce(at, F.lit("")))))
+
+    def of(pieces: Column) -> Column:
+        return F.transform(F.sequence(F.size(pieces) - 4, F.lit(0), F.lit(-2)), lambda i: F.array_join(F.slice(pieces, 1, i + 1), ""))
+
+    return F.when(F.rlike(title, F.lit(cue)), F.get(F.transform(F.array(parts), of), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def _shortened(title: Column, heads: Column) -> Column:
+    """The last head that is reached from the title, each long enough beside the one before."""
+    start = F.struct(title.alias("title"), F.lit(True).alias("open"))
+
+    def step(acc: Column, head: Column) -> Column:
+        goes = acc["open"] & _long_enough(head, acc["title"])
+        return F.struct(F.when(goes, head).otherwise(acc["title"]).alias("title"), goes.alias("open"))
+
+    return F.aggregate(heads, start, step, lambda acc: acc["title"])
+
+
+def _without_short_tails(title: Column) -> Column:
+    """Dashes with up to three words behind them go from the end."""
+
+    def step(acc: Column, _: Column) -> Column:
+        head = F.regexp_extract(acc, rf"(?s)^(.*?){SHORT_TAIL}", 1)
+        return F.when(F.rlike(acc, F.lit(SHORT_TAIL)) & _long_enough(head, acc), head).otherwise(acc)
+
+    dashes = F.split(title, " - ", -1)
+    return F.aggregate(dashes, title, step)
+
+
+def head_phrase(title: Column) -> Column:
+    """The phrase that names the product: qualifications are cut off from the end of the title while enough stays, then
+    trailing units, numbers and hyphenated words. A null title has an empty phrase."""
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    phrase = let(title_prefix_rules(F.coalesce(title, F.lit(""))), _without_short_tails)
+    for cue in TITLE_CUES:
+        phrase = let(phrase, _cut(cue))
+    return F.regexp_replace(joined(tokens(phrase)), rf"(?:(?:^| )(?:{TITLE_LAST})(?= |$))+$", "")
+
+
+def _cut(cue: str) -> Callable[[Column], Column]:
+    return lambda t: _shortened(t, _heads(t, cue))
+
+
 def noun_tags(text: Column) -> Column:
     """Array of (tok, tag) by suffix and word lists: a deterministic tagger, NN unless a rule says otherwise."""
 

@@ -45,7 +45,7 @@ def _register_texts() -> None:
     feature("origin_search_term", lambda q: q, "query_raw")
     feature("typeid", lambda t: X.normalize_model_numbers(X.model_numbers(t)), "title_raw")
     feature("title", L.normalize, "title_raw")
-    feature("main_title", lambda t: L.normalize(L.head_phrase(t)), "title_raw")
+    feature("main_title", lambda t: L.normalize(X.head_phrase(t)), "title_raw")
     feature("search_term", lambda q: F.when(X.is_meaningful(q), X.without_stop_words(q)).otherwise(""), "ori_stem_search_term")
     feature("description", L.normalize, "description_raw")
     feature("brand", L.normalize, "brand_raw")

@@ -91,7 +91,7 @@ over_measured("tx_measures", lambda s: {"measures": F.array_join(X.measures(X.no
 over_measured("tm_measure_count", lambda s: {"n": M.measure_count(X.joined(X.query_measures(s)), s)})
 over_measured("tm_measure_cases", lambda s: {f"case{k}": registry.measure_case(X.joined(X.query_measures(s)), X.joined(X.measures(X.normalize_rules(s))), k) for k in range(1, 6)})
 over_measured("tx_title_prefix_rules", lambda s: {"head": X.title_prefix_rules(F.concat(s, F.lit(" with lid and cap (blue) for home")))})
-over_measured("tx_head_phrase_full", lambda s: {"head": L.head_phrase(s)})
+over_measured("tx_head_phrase_full", lambda s: {"head": X.head_phrase(s)})
 over_cases("tx_stem", lambda q, t, d, b: {"title": L.normalize(t), "description": L.normalize(d)})
 over_cases("tx_segment", lambda q, t, d, b: {"parts": L.segment(q, t)})
 

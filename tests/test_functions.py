@@ -65,9 +65,23 @@ def test_stem(word, want):
     assert L.stem(word) == want
 
 
-def test_head_and_segment():
-    assert L.head_of("Cordless Drill Kit with Charger and Bag") == "Cordless Drill Kit"
-    assert L.head_of("Steel Bolt (2-Pack) 3 in.") == "Steel Bolt"
+def test_head_phrase(spark):
+    want = {
+        "Cordless Drill Kit with Charger and Bag": "Cordless Drill Kit",
+        "Steel Bolt (2-Pack) 3 in.": "Steel Bolt",
+        "Water Red, up Kit,": "Water Red",
+        "Big Red Saw - Blue": "Big Red Saw",
+        "Saw with a very long list of other things": "Saw with a very long list of other things",
+        "Copper Wire 12 Gauge": "Copper Wire",
+        "Lamp, Black, 3 in. x 5 ft.": "Lamp",
+        "": "",
+        None: "",
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string").select("t", X.head_phrase(F.col("t")).alias("h"))
+    assert {r["t"]: r["h"] for r in df.collect()} == want
+
+
+def test_segment():
     assert L.split_by("bluebolt saw", "blue bolt") == "blue bolt saw"
 
 
