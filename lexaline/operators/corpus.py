@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from lexaline.functions.text import let, ngrams, nouns, tokens
 
-#: Terms up to which a frequency table is broadcast (some 50 bytes each); beyond, the join is shuffled.
-BROADCAST_TERMS = 200_000
-
-
 def grams(text: Column, longest: int = 2) -> Column:
     """All runs of 1 to ``longest`` lower-case tokens."""
     return let(tokens(F.lower(text)), lambda words: F.concat(*[ngrams(words, n) for n in range(1, longest + 1)]))
@@ -31,10 +27,21 @@ def tfidf(rows: DataFrame, key: str, text: str, weights: DataFrame, longest: int
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def cosine_distance(a: DataFrame, b: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """(key, dist): 1 - cosine of two tables of unit rows, 1 where either is empty, for all ``keys``."""
-    dot = a.join(b.withColumnRenamed("w", "v"), [key, "term"]).groupBy(key).agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    return keys.select(key).join(dot, key, "left").select(key, (1 - F.coalesce("dot", F.lit(0.0))).alias("dist"))
+def cosine_distance(rows: DataFrame, key: str, a: str, b: str, weights: DataFrame, longest: int = 2) -> DataFrame:
+    """(key, dist): 1 - cosine of the tf-idf vectors of two texts of each row, 1 where either is empty.
+
+    The terms of both texts stand in one table, so each is counted, weighted and summed once: a shuffle by key and term, the
+    join of the weights, and a shuffle by key.
+    """
+
+    def side(text: str, name: str, other: str) -> DataFrame:
+        return rows.select(key, F.explode(grams(F.col(text), longest)).alias("term"), F.lit(1).alias(name), F.lit(0).alias(other))
+
+    counts = side(a, "x", "y").unionByName(side(b, "y", "x")).groupBy(key, "term").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    w = counts.join(weights.select("term", "idf"), "term").select(key, (F.col("x") * F.col("idf")).alias("x"), (F.col("y") * F.col("idf")).alias("y"))
+    sums = w.groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    cosine = F.coalesce(F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))), F.lit(0.0))
+    return rows.select(key).join(sums.select(key, cosine.alias("cosine")), key, "left").select(key, (1 - F.coalesce("cosine", F.lit(0.0))).alias("dist"))
 
 
 def idf_sum(rows: DataFrame, key: str, a: str, b: str, weights: DataFrame, exact: bool = False) -> DataFrame:

@@ -256,7 +256,7 @@ def co_idf_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cosine(a: str, b: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         cases, idf = S.search_cases(spark, sf_dir), _idf(spark, sf_dir)
-        out = C.cosine_distance(C.tfidf(cases, "row_id", a, idf), C.tfidf(cases, "row_id", b, idf), "row_id", cases)
+        out = C.cosine_distance(cases, "row_id", a, b, idf)
         return out.select("row_id", r6(F.col("dist")).alias("dist"))
 
     return run
