@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexaline.llm.memory import give_back
+
 #: Words of more symbols than this are merged one by one with a heap.
 LONG_WORD = 200
 #: Words whose encoding a worker remembers at most; then it forgets all and starts again.
@@ -260,7 +262,7 @@ def encoded(docs: DataFrame, keep: list[str], path: str, text_col: str = "text")
         # the worker lives on, for other stages
         bpe.known.clear()
         del batch, part, ids, sizes, offsets, lists, decoded
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(*keep, text_col).mapInArrow(run, schema)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexaline.llm.memory import by_parts
+
 BASE = ("email", "ip", "card", "phone")
 WIDER = ("written", "local", "ssn", "iban", "name")
 KINDS = BASE + WIDER
@@ -287,8 +290,8 @@ def candidate_spans(texts: Column) -> Column:
     """Array of structs (start, kind, stop, evidence) of every text; null counts as empty."""
 
     @F.pandas_udf("array<struct<start:int,kind:int,stop:int,evidence:int>>")
-    def found(batch: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": s, "kind": k, "stop": e, "evidence": v} for s, k, e, v in candidates(t or "")] for t in batch])
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return by_parts(batches, lambda texts: [[{"start": s, "kind": k, "stop": e, "evidence": v} for s, k, e, v in candidates(t or "")] for t in texts])
 
     return found(texts)
 
@@ -338,8 +341,8 @@ def redact(text: str | None, model: PiiModel) -> str | None:
 
 def redacted(model: PiiModel, texts: Column) -> Column:
     @F.pandas_udf("string")
-    def clean(batch: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, model) for t in batch], dtype=object)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return by_parts(batches, lambda texts: [redact(t, model) for t in texts])
 
     return clean(texts)
 

@@ -10,7 +10,7 @@ at most 2^8 different fingerprints, so no bucket is compared in pairs beyond ``m
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexaline.llm.components import connected_components
+from lexaline.llm.memory import by_parts
 from lexaline.llm.storage import materialize
 
 BITS = 64
@@ -50,8 +51,8 @@ def fingerprints(texts: Column, width: int = 3) -> Column:
     """Fingerprint column, as the signed long of the same bits."""
 
     @F.pandas_udf(T.LongType())
-    def signed(batch: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, width) for t in batch], np.uint64).view(np.int64))
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return by_parts(batches, lambda texts: np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64).tolist(), np.int64)
 
     return signed(texts)
 

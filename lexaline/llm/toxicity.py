@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexaline.llm.memory import by_parts, give_back
 from lexaline.llm.storage import materialize
 
 #: log2 of the number of n-gram buckets.
@@ -85,6 +86,7 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 bits[present(text)] = True
                 grams.append(zlib.compress(np.packbits(bits).tobytes(), 1))
             yield pd.DataFrame({"label": part["label"], "grams": grams})
+    give_back()
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float = 3.0, rounds: int = 150, l2: float = 1e-4) -> ToxicityModel:
@@ -181,9 +183,9 @@ def scores(model: ToxicityModel, texts: Column) -> Column:
     """Score column, a double from 0 to 1 for every row."""
 
     @F.pandas_udf("double")
-    def scored(batch: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         wanted = model.weights != 0
-        return pd.Series([_score(model, wanted, t) for t in batch], dtype=float)
+        return by_parts(batches, lambda texts: [_score(model, wanted, t) for t in texts], float)
 
     return scored(texts)
 
