@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaline.llm import bpe, chat, decontaminate, licenses, pii, secrets, simhash, sketches, substrings, toxicity
@@ -23,6 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def of_kind(spans: Column, kind: int) -> Column:
+    """How many of the spans are of that kind. A second parameter of the inner function would be a place in the array."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(documents(spark, sf_dir).select("doc_id", "text"))
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -35,7 +40,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(documents(spark, sf_dir).select("doc_id", pii.candidate_spans(F.col("text")).alias("spans")), "pii-candidates")
     base = F.filter("spans", lambda s: s["kind"] < len(pii.BASE))
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
+    counts = [of_kind(base, k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
     spans = pii.accepted(pii.fit(found), F.col("spans"))
     return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(spans).alias("spans"))
 
@@ -78,7 +83,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.extend_ledger(increment, ledger)
     found = secrets.findings(docs, secrets.open_ledger(spark, ledger))
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(secrets.BASE)]
+    counts = [of_kind(base, k).alias(f"n_{rule.kind}") for k, rule in enumerate(secrets.BASE)]
     return found.select("doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
 
 
