@@ -121,23 +121,36 @@ def anchors(data: np.ndarray, first: np.ndarray, last: np.ndarray):
     return at, text, grams[at], context, left, right
 
 
-def _pieces(texts: list[str]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Batches of (row, offset, bytes); a piece of a long text starts two strings before the end of the one before."""
+def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, stop) of a batch's texts, which Arrow holds in UTF-8 already; nothing is copied."""
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    buffer = column.buffers()[2]
+    return np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8), offsets[:-1], offsets[1:]
+
+
+def _pieces(starts: np.ndarray, stops: np.ndarray) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Batches of (row, offset, start, stop); a piece of a long text starts two strings before the end of the one before."""
     batch, size = [], 0
-    for row, text in enumerate(texts):
-        raw = text.encode("utf-8", "replace")
-        step = BATCH_BYTES - 2 * LENGTH
-        for at in range(0, max(1, len(raw) - 2 * LENGTH), step):
-            piece = raw[at : at + BATCH_BYTES]
-            if size and size + len(piece) > BATCH_BYTES:
+    step = BATCH_BYTES - 2 * LENGTH
+    for row, (start, stop) in enumerate(zip(starts.tolist(), stops.tolist())):
+        for at in range(0, max(1, stop - start - 2 * LENGTH), step):
+            piece = (row, at, start + at, min(start + at + BATCH_BYTES, stop))
+            if size and size + piece[3] - piece[2] > BATCH_BYTES:
                 yield batch
                 batch, size = [], 0
-            batch.append((row, at, piece))
-            size += len(piece)
+            batch.append(piece)
+            size += piece[3] - piece[2]
     if batch:
         yield batch
 
 
+def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the parts data[start : start + size], one after the other."""
+    ends = np.cumsum(size)
+    return data[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], np.concatenate(([0], ends))
+
+
 def _runs(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals of equal keys merged where they touch: (key, start, stop). ``key`` is ascending, ``start`` within it too."""
     if not len(key):
@@ -179,18 +192,20 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (id, t1, t2, text): their anchors, and the runs that are covered inside a batch of texts."""
     for table in batches:
         names = [table.column(k).to_numpy() for k in range(3)]
-        for batch in _pieces(table.column(3).to_pylist()):
-            lengths = np.array([len(p[2]) for p in batch])
+        raw, starts, stops = _text_bytes(table.column(3))
+        for batch in _pieces(starts, stops):
+            piece = np.array(batch, np.int64)
+            lengths = piece[:, 3] - piece[:, 2]
             last = np.cumsum(lengths)
             first = last - lengths
-            data = np.frombuffer(b"".join(p[2] for p in batch), np.uint8)
+            data = np.concatenate([raw[p[2] : p[3]] for p in batch])
             got = anchors(data, first, last)
             if got is None or not len(got[0]):
                 continue
             at, text, h, c, left, right = got
-            row = np.array([p[0] for p in batch])[text]
+            row = piece[text, 0]
             doc, t1, t2 = (n[row] for n in names)
-            place = np.array([p[1] for p in batch], np.int64)[text] + at - first[text]
+            place = piece[text, 1] + at - first[text]
             meta = place << _AT | left << _LEFT | right
             h, c = h.view(np.int64), c.view(np.int64)
             order = np.lexsort((meta, t2, t1, doc, c, h))
@@ -289,24 +304,34 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From texts with their wanted anchors: a row with the context's bytes; of crowded anchors one row for each string
     around them, the earliest of the batch only, and covered runs for the rest."""
     for table in batches:
-        rows: list[tuple] = []
+        names = [table.column(k).to_numpy() for k in range(3)]
+        data, starts, _ = _text_bytes(table.column(3))
+        wanted = table.column(4)
+        row = np.repeat(np.arange(table.num_rows), np.diff(wanted.offsets.to_numpy()))
+        flat = wanted.flatten()
+        at, sides, h, many = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        left, right = sides >> _LEFT & 127, sides & 127
+        some = np.flatnonzero(~many)
+        for cut in range(0, len(some), 20_000):
+            i = some[cut : cut + 20_000]
+            context, offsets = _gathered(data, starts[row[i]] + at[i] - left[i], (left[i] + ANCHOR + right[i]).astype(np.int64))
+            blob = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(context)])
+            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(left[i].astype(np.int32)), blob, *[pa.array(n[row[i]]) for n in names], pa.array(at[i].astype(np.int32))], schema=_CONTEXTS)
         strings: dict[bytes, tuple] = {}
-        for doc, t1, t2, text, wanted in zip(*(table.column(k).to_pylist() for k in range(5))):
-            raw = text.encode("utf-8", "replace")
-            for x in wanted:
-                at, left, right = x["start"], x["stop"] >> _LEFT, x["stop"] & 127
-                if not x["many"]:
-                    rows.append((x["h"], left, raw[at - left : at + ANCHOR + right], doc, t1, t2, at))
-                    continue
-                for a in range(max(0, SIDE - right), left + 1):
-                    place, key = (doc, t1, t2, at - a), raw[at - a : at - a + LENGTH]
-                    first = strings.setdefault(key, place)
-                    if place != first:
-                        strings[key] = min(first, place)
-                        rows.append((mixed_place(place), 0, None, *max(first, place)))
+        rows: list[tuple] = []
+        for i in np.flatnonzero(many).tolist():
+            doc, t1, t2 = (int(n[row[i]]) for n in names)
+            base, place_at, before = int(starts[row[i]]), int(at[i]), int(left[i])
+            around = data[base + place_at - before : base + place_at + ANCHOR + int(right[i])].tobytes()
+            for a in range(max(0, SIDE - int(right[i])), before + 1):
+                place, key = (doc, t1, t2, place_at - a), around[before - a : before - a + LENGTH]
+                first = strings.setdefault(key, place)
+                if place != first:
+                    strings[key] = min(first, place)
+                    rows.append((mixed_place(place), 0, None, *max(first, place)))
         rows += [(xxhash.xxh64_intdigest(key) - (1 << 63), -1, key, *place) for key, place in strings.items()]
-        for at in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows[at : at + 10_000]), _CONTEXTS)], schema=_CONTEXTS)
+        for cut in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows[cut : cut + 10_000]), _CONTEXTS)], schema=_CONTEXTS)
 
 
 def mixed_place(place: tuple) -> int:
@@ -420,7 +445,7 @@ def covered_strings(contexts: list[bytes], left: np.ndarray, group: np.ndarray,
 
 _COVERED = pa.schema([("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 #: Contexts that are sorted together.
-SORTED_TOGETHER = 1 << 13
+SORTED_TOGETHER = 1 << 15
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,19 +526,20 @@ def merged_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (id, n_bytes, digest, text, runs); those without runs have their digest, the others a text."""
     for table in batches:
-        rows = []
-        for doc, text, runs in zip(*(table.column(k).to_pylist() for k in range(3))):
-            raw = text.encode("utf-8", "replace")
-            spans = merged_runs([(r["start"], r["stop"]) for r in runs or []])
+        data, starts, stops = _text_bytes(table.column(3))
+        digests, removed, spans_of = table.column(2).to_pylist(), [0] * table.num_rows, [0] * table.num_rows
+        for i in np.flatnonzero(table.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist():
+            raw = memoryview(data[starts[i] : stops[i]])
+            spans = merged_runs([(r["start"], r["stop"]) for r in table.column(4)[i].as_py()])
             digest, at = hashlib.sha256(), 0
             for start, stop in spans:
                 digest.update(raw[at:start])
                 at = stop
             digest.update(raw[at:])
-            rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows), _RESULT)], schema=_RESULT)
+            digests[i], removed[i], spans_of[i] = digest.hexdigest(), sum(b - a for a, b in spans), len(spans)
+        yield pa.RecordBatch.from_arrays([table.column(0), table.column(1), pa.array(removed, pa.int64()), pa.array(spans_of, pa.int64()), pa.array(digests, pa.string())], schema=_RESULT)
 
 
 def _tie(text: Column) -> tuple[Column, Column]:
@@ -563,6 +589,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["id", "t1", "t2"]
     texts, runs = covered_runs(docs, id_col, text_col)
     by_text = runs.groupBy(*names).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    joined = texts.join(by_text, names, "left").select("id", "text", "runs")
+    kept_whole = F.col("runs").isNull()
+    joined = texts.join(by_text, names, "left").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(kept_whole, F.sha2("text", 256)).alias("digest"), F.when(~kept_whole, F.col("text")).alias("text"), "runs")
     result = joined.mapInArrow(_summaries, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return result.select(F.nullif(F.col("id"), F.lit((1 << 63) - 1)).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
