@@ -588,7 +588,7 @@ def small_steps(rows, monkeypatch, places, crowd):
             runs.append(x)
         else:
             wanted.setdefault(x["id"], []).append(x)
-    asked = pa.table({"id": list(wanted), "t1": zeros(len(wanted)), "t2": zeros(len(wanted)), "text": [dict(rows)[i] for i in wanted], "wanted": list(wanted.values())})
+    asked = pa.table({"id": list(wanted), "t1": zeros(len(wanted)), "t2": zeros(len(wanted)), "text": [dict(rows)[i] for i in wanted], "wanted": [[{k: x[k] for k in ("start", "stop", "h", "many")} for x in w] for w in wanted.values()]}, schema=pa.schema([("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("text", pa.string()), ("wanted", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("h", pa.int64()), ("many", pa.bool_())])))]))
     contexts = pa.Table.from_batches(substrings._contexts(iter(asked.to_batches(max_chunksize=9))))
     contexts = contexts.append_column("n", pa.array(range(len(contexts)))).to_pylist()
     contexts.sort(key=lambda x: (x["h"], x["left"], x["context"] or b"", x["id"], x["t1"], x["t2"], x["at"]))
@@ -597,7 +597,8 @@ def small_steps(rows, monkeypatch, places, crowd):
     by = {}
     for x in runs:
         by.setdefault(x["id"], []).append({"start": x["start"], "stop": x["stop"]})
-    final = pa.table({"id": docs["id"], "text": docs["text"], "runs": pa.array([by.get(i) for i, _ in rows], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))})
+    plain = [(t or "").encode() for _, t in rows]
+    final = pa.table({"id": docs["id"], "n": [len(t) for t in plain], "digest": [None if i in by else hashlib.sha256(t).hexdigest() for (i, _), t in zip(rows, plain)], "text": [t if i in by else None for i, t in rows], "runs": pa.array([by.get(i) for i, _ in rows], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))})
     return sorted((tuple(x.values()) for x in pa.Table.from_batches(substrings._summaries(iter(final.to_batches()))).to_pylist()), key=str)
 
 
