@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexaline import file_queries, matrix_queries, oracles, queries
+from lexaline import file_queries, matrix_queries, model_queries, oracles, queries
 
-QUERIES = queries.QUERIES | file_queries.QUERIES | matrix_queries.QUERIES
-ORACLES = oracles.ORACLES | file_queries.ORACLES | matrix_queries.ORACLES
+QUERIES = queries.QUERIES | file_queries.QUERIES | matrix_queries.QUERIES | model_queries.QUERIES
+ORACLES = oracles.ORACLES | file_queries.ORACLES | matrix_queries.ORACLES | model_queries.ORACLES
