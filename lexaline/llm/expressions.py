@@ -16,8 +16,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z in lower case, all else as it is; texts of ASCII alone take the faster way to the same."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 #: Matches whose places are added up together; an accumulator that grows longer would be copied for every match.

@@ -1,7 +1,8 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
 A text becomes its lower-case words with one space between them. Each rule is a regular expression over these words with
-a keyword that must occur before the expression is tried, a priority (1 is strongest) and a weight. Rules are ordered by
+a keyword that must occur before the expression is tried, a priority (1 is strongest) and a weight. The first word of the
+keyword is a word of every match, so one look at a text's words tells which rules can be left out. Rules are ordered by
 priority and then as written. A detection that lies inside one of the same or a stronger priority is suppressed; of
 equal intervals and priorities that of the first rule stays. Of what stays, the labels are reported.
 """
@@ -13,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexaline.llm.expressions import ascii_lower, matches
+from lexaline.llm.expressions import ascii_lower, let, matches
 
 #: What stands between words once A-Z is in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,14 +79,15 @@ _NAMES = (
 )
 
 _VERSION = r"(?:(?: version| v| ver)? v?[0-9]+(?: [0-9]+)*(?: or later| or any later version| only)?)?"
-#: Wordings around a name: pattern with {n} for the name and {v} for a version, priority, weight.
+#: Wordings around a name: pattern with {n} for the name and {v} for a version, what every match has beside the name,
+#: priority, weight.
 _FORMS = (
-    (r"spdx license identifier {n}{v}", 1, 1.0),
-    (r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the |a )?(?:terms of |terms and conditions of )?(?:the |a )?{n}(?: licen[sc]e)?{v}", 1, 1.0),
-    (r"under (?:the )?terms of (?:the )?{n}(?: licen[sc]e)?{v}", 1, 0.95),
-    (r"licen[sc]e {n}{v}", 2, 0.8),
-    (r"{n} licen[sc]e{v}", 2, 0.9),
-    (r"{n}(?:(?: version| v| ver) v?[0-9]+(?: [0-9]+)*| [0-9]+ [0-9]+(?: [0-9]+)?)", 3, 0.6),
+    (r"spdx license identifier {n}{v}", "spdx license identifier ", 1, 1.0),
+    (r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the |a )?(?:terms of |terms and conditions of )?(?:the |a )?{n}(?: licen[sc]e)?{v}", " under ", 1, 1.0),
+    (r"under (?:the )?terms of (?:the )?{n}(?: licen[sc]e)?{v}", "terms of ", 1, 0.95),
+    (r"licen[sc]e {n}{v}", " licen", 2, 0.8),
+    (r"{n} licen[sc]e{v}", " licen", 2, 0.9),
+    (r"{n}(?:(?: version| v| ver) v?[0-9]+(?: [0-9]+)*| [0-9]+ [0-9]+(?: [0-9]+)?)", "", 3, 0.6),
 )
 #: Sentences and short forms of single licenses: pattern, keyword, label, priority, weight.
 _NOTICES = (
@@ -170,8 +172,10 @@ _NOTICES = (
     (r"mit x11(?: licen[sc]e)?", "mit x11", "mit", 2, 0.9),
     (r"x11 licen[sc]e", "x11 licen", "x11", 2, 0.9),
     (r"gpl v ?[123]", "gpl v", "gpl", 3, 0.8),
-    (r"gplv[123]", "gplv", "gpl", 3, 0.8),
-    (r"lgplv[23]", "lgplv", "lgpl", 3, 0.8),
+    (r"gplv2(?: or later)?", "gplv2", "gpl", 3, 0.8),
+    (r"gplv3(?: or later)?", "gplv3", "gpl", 3, 0.8),
+    (r"lgplv2(?: or later)?", "lgplv2", "lgpl", 3, 0.8),
+    (r"lgplv3(?: or later)?", "lgplv3", "lgpl", 3, 0.8),
     (r"agplv3", "agplv3", "agpl", 3, 0.8),
     (r"dual licen[sc]ed under (?:the )?mit and gpl(?: licenses)?", "dual licen", "gpl", 1, 0.9),
     (r"dual licen[sc]ed under (?:the )?(?:apache|mit)(?: 2 0)? (?:or|and) (?:apache|mit)(?: 2 0)?", "dual licen", "mit", 1, 0.9),
@@ -229,18 +233,18 @@ def rules() -> list[dict]:
     """All rules in their order: by priority and then as written, single sentences before forms with a name."""
     found = []
     for pattern, keyword, label, priority, weight in _NOTICES:
-        found.append({"label": label, "priority": priority, "weight": weight, "keyword": keyword, "regex": pattern.format()})
-    for pattern, priority, weight in _FORMS:
+        found.append({"label": label, "priority": priority, "weight": weight, "keyword": keyword, "beside": "", "regex": pattern.format()})
+    for pattern, beside, priority, weight in _FORMS:
         for name, keyword, label in _NAMES:
-            found.append({"label": label, "priority": priority, "weight": weight, "keyword": keyword, "regex": pattern.format(n=name, v=_VERSION)})
+            found.append({"label": label, "priority": priority, "weight": weight, "keyword": keyword, "beside": beside, "regex": pattern.format(n=name, v=_VERSION)})
     found.sort(key=lambda r: r["priority"])
     for nth, rule in enumerate(found):
-        rule |= {"nth": nth, "regex": f"(?<= ){rule['regex']}(?= )"}
+        rule |= {"nth": nth, "word": rule["keyword"].split(" ")[0], "regex": f"(?<= ){rule['regex']}(?= )"}
     return found
 
 
-#: One of these must occur in a text's words before any rule is tried in it: every rule's keyword.
-GATE = tuple(sorted({rule["keyword"] for rule in rules()}))
+#: One of these must be a word of a text before any rule is tried in it: the first word of every rule's keyword.
+GATE = tuple(sorted({rule["word"] for rule in rules()}))
 
 
 def _spaces(s: Column) -> Column:
@@ -253,11 +257,16 @@ def words_text(text: Column) -> Column:
     return F.when(plain == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), plain, F.lit(" ")))
 
 
-def _detections(words: Column) -> Column:
+def _key_words(words: Column) -> Column:
+    """Those of GATE that are words of the text."""
+    return F.array_intersect(F.split(words, " ", -1), F.array(*[F.lit(w) for w in GATE]))
+
+
+def _detections(words: Column, key_words: Column) -> Column:
     """Structs (start, -stop, priority, nth, weight, label) of all rules' matches, containing intervals first."""
-    schema = "array<struct<label:string,priority:int,nth:int,weight:double,keyword:string,regex:string>>"
+    schema = "array<struct<label:string,priority:int,nth:int,weight:double,word:string,keyword:string,beside:string,regex:string>>"
     table = F.from_json(F.lit(json.dumps(rules())), schema)
-    usable = F.filter(table, lambda r: F.contains(words, r["keyword"]))
+    usable = F.filter(table, lambda r: F.array_contains(key_words, r["word"]) & F.contains(words, r["keyword"]) & F.contains(words, r["beside"]))
     found = F.flatten(F.transform(usable, lambda r: F.transform(matches(words, r["regex"]), lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("back"), r["priority"].alias("priority"), r["nth"].alias("nth"), r["weight"].alias("weight"), r["label"].alias("label")))))
     return F.array_sort(found)
 
@@ -286,13 +295,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # each step names what it reads more than once, which keeps it from being computed twice
     worded = docs.select(F.col(id_col).alias("_id"), words_text(F.col(text_col)).alias("w"))
     words = F.col("w")
-    gated = F.lit(False)
-    for key in GATE:
-        gated = gated | F.contains(words, F.lit(key))
     none = F.array().cast("array<string>")
     pieces = [F.when(F.contains(words, F.lit(f" {phrase} ")), F.split(words, f"(?<= ){phrase}(?= )", -1)).otherwise(none).alias(f"s{i}") for i, (phrase, _) in enumerate(BASE)]
     nothing = F.struct(none.alias("labels"), F.lit(0.0).alias("weight"), F.lit(0).alias("n"))
-    looked = worded.select("_id", (_spaces(words) - 1).cast("long").alias("n_words"), *pieces, F.when(gated, _resolved(_detections(words))).otherwise(nothing).alias("found"))
+    found = let(_key_words(words), lambda keys: F.when(F.size(keys) > 0, _resolved(_detections(words, keys))).otherwise(nothing))
+    looked = worded.select("_id", (_spaces(words) - 1).cast("long").alias("n_words"), *pieces, found.alias("found"))
 
     n = [F.greatest(F.size(f"s{i}") - 1, F.lit(0)).cast("long") for i in range(len(BASE))]
     first = [_spaces(F.get(f"s{i}", F.lit(0))) - 1 for i in range(len(BASE))]
