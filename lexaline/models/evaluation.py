@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexaline.operators.relational import before_parts, in_order
+
 #: Labels of the ordinal model, and the margins of its "less than" classifiers.
 ORDINAL_LABELS = (1.0, 1.33, 1.67, 2.0, 2.33, 2.67, 3.0)
 MARGINS = (1.2, 1.5, 1.8, 2.2, 2.5, 2.8)
@@ -94,12 +96,16 @@ def classification_report(df: DataFrame, pred: str, truth: str) -> DataFrame:
 def best_split(df: DataFrame, features: list[str], residual: str, penalty: float, least: int = 10) -> DataFrame:
     """(feature, border, gain): the split of each feature that lowers the L2-penalised square loss most.
 
-    One aggregate for each value of each feature, then running sums: no row is looked at twice.
+    One aggregate for each value of each feature, then running sums over range partitions of the values: no row is looked
+    at twice, and no task has all values of a feature.
     """
     long = df.unpivot([residual], features, "feature", "value").groupBy("feature", "value").agg(F.sum(residual).alias("s"), F.count("*").alias("n"))
-    w = Window.partitionBy("feature").orderBy("value")
-    total = Window.partitionBy("feature")
-    run = long.select("feature", "value", F.sum("s").over(w).alias("sl"), F.sum("n").over(w).alias("nl"), F.sum("s").over(total).alias("st"), F.sum("n").over(total).alias("nt"))
+    ordered = in_order(long, ["feature", "value"], "split")
+    before = before_parts(ordered, ["feature"], {"s0": F.sum("s"), "n0": F.sum("n")})
+    totals = ordered.groupBy("feature").agg(F.sum("s").alias("st"), F.sum("n").alias("nt"))
+    w = Window.partitionBy("part", "feature").orderBy("at")
+    run = ordered.withColumn("s1", F.sum("s").over(w)).withColumn("n1", F.sum("n").over(w)).join(F.broadcast(before), ["part", "feature"]).join(F.broadcast(totals), "feature")
+    run = run.select("feature", "value", (F.col("s0") + F.col("s1")).alias("sl"), (F.col("n0") + F.col("n1")).alias("nl"), "st", "nt")
     part = lambda s, n: s * s / (n + penalty) / 2
     sl, nl, st, nt = (F.col(c) for c in ("sl", "nl", "st", "nt"))
     scored = run.where((nl >= least) & (nt - nl >= least)).select("feature", F.col("value").alias("border"), (part(sl, nl) + part(st - sl, nt - nl) - part(st, nt)).alias("gain"))

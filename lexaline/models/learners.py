@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexaline.models import evaluation as E
 from lexaline.operators.relational import clip
+from lexaline.sources.files import stored
 
 SEED = 2016
 #: Spark's trees are 30 deep at most.
@@ -46,7 +47,7 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str], key: str =
 
 def out_of_fold(family: str, train: DataFrame, features: list[str], truth: str, key: str = "row_id", k: int = 3, **params) -> DataFrame:
     """(key, pred, truth) of every row, predicted by a model that hasn't seen its fold."""
-    split = E.hashed_folds(train.where(F.col(truth).isNotNull()), key, k).persist()
+    split = stored(E.hashed_folds(train.where(F.col(truth).isNotNull()), key, k).select(key, truth, "fold", *[c for c in features if c not in (key, truth)]), "folds")
     parts = [predict(fit(family, split.where(F.col("fold") != i), features, truth, **params), split.where(F.col("fold") == i), features, key) for i in range(k)]
     out = parts[0]
     for p in parts[1:]:
@@ -78,7 +79,7 @@ def ordinal(train: DataFrame, test: DataFrame, features: list[str], truth: str,
     """(key, label) by vote of classifiers that say whether the relevance lies below each margin."""
     rows = numeric(train, features).where(F.col(truth).isNotNull())
     scaler = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), MinMaxScaler(inputCol="raw", outputCol="features")]).fit(rows)
-    rows, asked = scaler.transform(rows).persist(), scaler.transform(numeric(test, features))
+    rows, asked = scaler.transform(rows), scaler.transform(numeric(test, features))
     for i, margin in enumerate(E.MARGINS):
         below = rows.withColumn("label", (F.col(truth) < margin).cast("double"))
         if below.select("label").distinct().count() < 2:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexaline.sources.files import scratch
+
 from lexaline.functions.text import ngrams, word_tokens
 
 #: Buckets of relevance: least and greatest value, both excluded, and the value that names the bucket.
@@ -69,15 +71,38 @@ def head_and_tail(train: DataFrame, test: DataFrame, n: int, order: str) -> Data
 
 def leave_one_out(df: DataFrame, key: str, value: str, known: Column, least: int = 3) -> DataFrame:
     """History of a key: mean of its known values, the row's own left out, if ``least`` others have one, else the mean
-    of all; the number of values; and sqrt(count + 1) times the mean."""
-    w = Window.partitionBy(key)
+    of all; the number of values; and sqrt(count + 1) times the mean.
+
+    Sums of a key are made before the shuffle and joined back, so a key of very many rows is no single task's work.
+    """
     own = F.when(known, F.col(value))
-    total, n = F.sum(own).over(w) - F.coalesce(own, F.lit(0.0)), F.count(own).over(w) - F.when(own.isNotNull(), 1).otherwise(0)
+    sums = df.groupBy(F.col(key).alias("_key")).agg(F.sum(own).alias("_all"), F.count(own).alias("_count"))
     overall = df.agg((F.sum(own) / F.count(own)).alias("_overall"))
-    rows = df.withColumn("_n", n).withColumn("_sum", total).crossJoin(F.broadcast(overall))
-    enough = F.col("_n") >= least
-    rows = rows.withColumn(f"{key}_hist_rel", F.when(enough, F.col("_sum") / F.col("_n")).otherwise(F.col("_overall"))).withColumn(f"{key}_hist_count", F.when(enough, F.col("_n")).otherwise(0))
-    return rows.withColumn(f"{key}_hist_cmb", F.sqrt(F.col(f"{key}_hist_count") + 1) * F.col(f"{key}_hist_rel")).drop("_n", "_sum", "_overall")
+    rows = df.join(sums, F.col(key).eqNullSafe(F.col("_key")), "left").crossJoin(F.broadcast(overall))
+    n = F.col("_count") - F.when(own.isNotNull(), 1).otherwise(0)
+    total = F.coalesce(F.col("_all"), F.lit(0.0)) - F.coalesce(own, F.lit(0.0))
+    enough = n >= least
+    made = rows.withColumn(f"{key}_hist_rel", F.when(enough, total / F.nullif(n, F.lit(0))).otherwise(F.col("_overall"))).withColumn(f"{key}_hist_count", F.when(enough, n).otherwise(0))
+    return made.withColumn(f"{key}_hist_cmb", F.sqrt(F.col(f"{key}_hist_count") + 1) * F.col(f"{key}_hist_rel")).drop("_key", "_all", "_count", "_overall")
+
+
+def in_order(df: DataFrame, order: list[str], name: str = "ordered") -> DataFrame:
+    """``df`` with ``part`` and ``at``: rows of a lesser part come before those of a greater one, and by ``at`` within it.
+
+    Range partitions are written once, so that every later look at them finds the same parts.
+    """
+    path = scratch(df.sparkSession, name)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    low = F.monotonically_increasing_id()
+    ranged.select("*", F.shiftright(low, 33).alias("part"), low.bitwiseAND((1 << 33) - 1).alias("at")).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def before_parts(parts: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """(by, part, sums): of the rows of all lesser parts, for each part; as many rows as there are parts and groups."""
+    each = parts.groupBy(*by, "part").agg(*[c.alias(n) for n, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(*by, "part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
 
 
 def query_classes(df: DataFrame, query: str, relevance: str) -> DataFrame:
@@ -107,11 +132,9 @@ def query_ids(df: DataFrame, query: str, split: str) -> DataFrame:
     """(query, query_id): queries of both splits first, then those of train only, then of test only; by text within each."""
     seen = df.groupBy(query).agg(F.max(F.col(split) == "train").alias("a"), F.max(F.col(split) == "test").alias("b"))
     kind = F.when(F.col("a") & F.col("b"), 0).when(F.col("a"), 1).otherwise(2)
-    # ids need one order over the distinct queries: a class's rank plus the sizes of the classes before it
-    ranked = seen.select(query, kind.alias("kind")).withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(query)))
-    sizes = {r["kind"]: r["count"] for r in ranked.groupBy("kind").count().collect()}
-    before = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, sizes.get(0, 0)).otherwise(sizes.get(0, 0) + sizes.get(1, 0))
-    return ranked.select(query, (before + F.col("r")).cast("long").alias("query_id"))
+    ordered = in_order(seen.select(query, kind.alias("kind")), ["kind", query])
+    before = before_parts(ordered, [], {"before": F.count("*")})
+    return ordered.join(F.broadcast(before), "part").select(query, (F.col("before") + F.col("at") + 1).cast("long").alias("query_id"))
 
 
 def sql_statements(df: DataFrame, target: str, columns: list[str], key: str) -> DataFrame:

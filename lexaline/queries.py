@@ -15,6 +15,7 @@ from lexaline.operators import corpus as C
 from lexaline.operators import relational as R
 from lexaline.plans import registry
 from lexaline.sources import tables as S
+from lexaline.sources.files import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -443,7 +444,7 @@ NUMERIC = ["word_in_title", "word_in_description", "len_of_title", "len_of_descr
 
 def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = registry.raw_cases(S.search_cases(spark, sf_dir))
-    return registry.with_features(cases, NUMERIC).select("row_id", "relevance", *NUMERIC).persist()
+    return stored(registry.with_features(cases, NUMERIC).select("row_id", "relevance", *NUMERIC), "model-rows")
 
 
 def _model(family: str) -> Query:
