@@ -106,6 +106,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
 
 
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the license scan: words, base places and their labels."""
+    return op2_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the fingerprints: the texts that are fingerprinted."""
+    return op4_sketches(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the chat format: the turns and the text under the loss mask, read back from the tokens."""
+    return op8_chat(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -117,4 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
+    "llm_license_places": license_places,
+    "llm_edited_texts": edited_texts,
+    "llm_chat_turns": chat_turns,
 }

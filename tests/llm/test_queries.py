@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 
+import oracle
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 from test_operators import slow_components, slow_copies, slow_fingerprint, slow_pii, slow_places, slow_repeats, slow_secrets, words
 
 import corpus_pipeline
-from lexaline.llm import chat, decontaminate, queries, simhash, sketches, toxicity
+from lexaline.llm import chat, decontaminate, oracles, queries, simhash, sketches, toxicity
 from lexaline.llm.bpe import WordBpe
 
 SAID = "\\### Assistant: </turn> ok"
@@ -278,7 +280,12 @@ def test_op10(spark, folder, rows):
     same(got(spark, folder, "op10_bpe"), want)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op8_chat"}))
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_against_sql(spark, name):
+    assert oracle.difference(queries.QUERIES[name](spark, SF), oracle.connect(SF), oracles.ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op8_chat", "llm_chat_turns"}))
 def test_empty_tables_give_no_rows(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).count() == 0
 
