@@ -513,7 +513,8 @@ def ml_greedy_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def co_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexaline.operators import vectors as V
 
-    return V.svd(V.tfidf_vectors(S.search_cases(spark, sf_dir), "row_id", "description"), "row_id", 10)
+    cases = S.search_cases(spark, sf_dir)
+    return V.svd(V.tfidf_weights(cases, "row_id", "description"), "row_id", cases, 10)
 
 
 @query("co_plane")

@@ -1,6 +1,7 @@
 """Registered relevance queries against their SQL; planner, store and models."""
 
 import math
+import random
 
 import oracle
 import pytest
@@ -90,14 +91,24 @@ def test_greedy_forest_splits_a_skewed_feature(spark):
     assert means[2.0] > 7 and abs(means[0.0]) < 1 and abs(means[1.0]) < 1
 
 
-def test_svd_keeps_rows_without_a_term(spark):
+def test_svd_by_brute_force(spark):
+    import numpy as np
+
     from lexaline.operators import vectors as V
 
-    texts = ["red bolt", "red bolt", "big saw", "big saw", "once", "", None]
+    r = random.Random(3)
+    texts = [" ".join(r.choices("red bolt big saw steel wire lamp tool".split(), k=r.randint(1, 9))) for _ in range(40)] + ["once", "", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    got = {r["id"]: r["svd"] for r in V.svd(V.tfidf_vectors(rows, "id", "t"), "id", 2).collect()}
-    assert sorted(got) == list(range(len(texts)))
-    assert all(any(got[i]) for i in range(4)) and all(got[i] == [0.0, 0.0] for i in (4, 5, 6))
+    weights = V.tfidf_weights(rows, "id", "t")
+    terms = sorted({x["term"] for x in weights.collect()})
+    matrix = np.zeros((len(texts), len(terms)))
+    for x in weights.collect():
+        matrix[x["id"], terms.index(x["term"])] = x["w"]
+    right = np.linalg.svd(matrix)[2][:3]
+    right *= np.where(right[np.arange(3), np.abs(right).argmax(axis=1)] < 0, -1, 1)[:, None]
+    got = {x["id"]: x["svd"] for x in V.svd(weights, "id", rows, 3, rounds=8).collect()}
+    assert sorted(got) == list(range(len(texts))) and all(got[i] == [0.0] * 3 for i in (40, 41, 42))
+    assert np.abs(np.array([got[i] for i in range(len(texts))]) - matrix @ right.T).max() < 1e-3
 
 
 def test_folds_of_any_size(spark):
