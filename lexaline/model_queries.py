@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexaline.models import learners
 from lexaline.models import selection as L
 from lexaline.oracles import PREDS
+from lexaline.plans import corpus_features as K
+from lexaline.plans import registry
 from lexaline.plans import run as R
 from lexaline.queries import NUMERIC, Query, _model_rows, _preds, r6
 from lexaline.sources import files as P
@@ -84,3 +86,16 @@ def rel_drop_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = {"model": "ridge", "features": NUMERIC, "params": {"regParam": 0.1}}
     return R.run(S.search_cases(spark, sf_dir), P.scratch(spark, "run"), given)[0]
+
+
+@query("features_corpus")
+def features_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All corpus-level features but the singular vectors, of every search case."""
+    names = [n for n in K.NAMES if not n.startswith(("raw_svd", "q_t_", "q_d_"))]
+    return K.with_corpus_features(registry.raw_cases(S.search_cases(spark, sf_dir)), names).select("row_id", *names)
+
+
+@query("features_svd")
+def features_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["raw_svd_T", "q_t_11gram"]
+    return K.with_corpus_features(registry.raw_cases(S.search_cases(spark, sf_dir)), names).select("row_id", *names)

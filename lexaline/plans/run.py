@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexaline.models import evaluation as E
 from lexaline.models import learners
-from lexaline.plans import registry, store
+from lexaline.plans import corpus_features, registry, store
 from lexaline.sources import files
 
 DEFAULTS = {"model": "ridge", "features": [], "recompute_features": [], "not_save": [], "num_train": None, "folds": 3, "params": {}, "drop": []}
@@ -19,7 +19,7 @@ def settings(given: dict) -> dict:
     if unknown:
         raise KeyError(f"unknown settings: {sorted(unknown)}")
     made = DEFAULTS | given
-    missing = [f for f in made["features"] if f not in registry.REGISTRY]
+    missing = [f for f in made["features"] if f not in registry.REGISTRY and f not in corpus_features.NAMES]
     if missing:
         raise KeyError(f"unknown features: {missing}")
     if made["model"] not in learners.FAMILIES:

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexaline.plans import registry
+from lexaline.plans.corpus_features import with_corpus_features
 
 
 def _names(spark: SparkSession, root: str) -> dict[str, str]:
@@ -41,13 +41,13 @@ def build(cases: DataFrame, root: str, group: str, wanted: Iterable[str], recomp
     rows = cases.join(had, "row_id") if had is not None else cases
     missing = [f for f in wanted if f not in stored]
     if missing:
-        made = registry.with_features(rows, missing)
+        made = with_corpus_features(rows, missing)
         kept = [f for f in missing if f not in set(not_save)]
         if kept:
             made.select("row_id", *kept).write.mode("overwrite").parquet(f"{root}/{group}")
             fresh = spark.read.parquet(f"{root}/{group}")
             left = [f for f in missing if f not in kept]
-            rows = registry.with_features(rows, left).select("row_id", *[c for c in rows.columns if c != "row_id"], *left).join(fresh, "row_id") if left else rows.join(fresh, "row_id")
+            rows = with_corpus_features(rows, left).select("row_id", *[c for c in rows.columns if c != "row_id"], *left).join(fresh, "row_id") if left else rows.join(fresh, "row_id")
         else:
             rows = made
     return rows.select(*cases.columns, *wanted)
