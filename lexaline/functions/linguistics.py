@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 
+import itertools
 import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexaline.functions.text import normalize_rules
+from lexaline.functions.text import SHORT_TAIL, TITLE_CUES, TITLE_ENDINGS, TITLE_TAIL, normalize_rules
 
 _VOWELS = "aeiouy"
 #: Fixed values of the published English algorithm (Porter 2).
@@ -132,6 +133,35 @@ def normalize(text: Column) -> Column:
     return stem_words(normalize_rules(text))
 
 
+def head_of(title: str) -> str:
+    """The same as :func:`lexaline.functions.text.head_phrase`, for one text."""
+
+    def enough(head: str, whole: str) -> bool:
+        return 2 * len(head.split()) + 1 >= len(whole.split())
+
+    for ending in TITLE_ENDINGS:
+        title = re.sub(ending, "", title)
+    title = title.replace("  ", " ")
+    while (tail := re.search(SHORT_TAIL, title)) and enough(title[: tail.start()], title):
+        title = title[: tail.start()]
+    for cue in TITLE_CUES:
+        shorter = [title, *(title[: m.start()] for m in reversed([*re.finditer(cue, title)]))]
+        steps = itertools.takewhile(lambda pair: enough(pair[1], pair[0]), itertools.pairwise(shorter))
+        title = shorter[sum(1 for _ in steps)]
+    return re.sub(TITLE_TAIL, "", " ".join(title.split()))
+
+
+def head_phrase(title: Column) -> Column:
+    """Arrow-batched twin of the native function, for texts that other Arrow-batched functions go on with: their planner
+    rule can't take expressions of nested functions above a join."""
+
+    @F.pandas_udf("string")
+    def heads(batch: pd.Series) -> pd.Series:
+        return pd.Series([head_of(t or "") for t in batch], dtype=object)
+
+    return heads(title)
+
+
 def split_by(query: str, title: str) -> str:
     """Query words of over three letters split greedily into title words of over two; a remainder stays as a word."""
     parts = sorted({w for w in title.split() if len(w) > 2}, key=lambda w: (-len(w), w))

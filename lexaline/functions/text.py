@@ -201,6 +201,8 @@ SHORT_TAIL = r" - \S+\s*\S*\s*\S*\s*$"
 TITLE_CUES = (r" - (?=\D)", r"(?<=\S), ", " [uU]p [tT]o ", ",* [wW]ith ", r"(?<=[^\d\s]) [iI]n ", ",* [wW]ith ")
 TITLE_LAST = r"L|W|O\.D\.|OD|O\.C\.|OC|in\.|lb\.|lbs\.|x|\d+[/\d]*|ft\.\.|ft\.|Lumens|CRI|Thick|\+|AWG|oz.|\d+ Gauge|and|\S+-\S+"
 
+TITLE_TAIL = rf"(?:(?:^| )(?:{TITLE_LAST})(?= |$))+$"
+
 
 def title_prefix_rules(title: Column) -> Column:
     """The title without brackets and trailing qualifications, before the word-by-word cuts of head_phrase()."""
@@ -256,7 +258,7 @@ def head_phrase(title: Column) -> Column:
     phrase = let(title_prefix_rules(F.coalesce(title, F.lit(""))), _without_short_tails)
     for cue in TITLE_CUES:
         phrase = let(phrase, _cut(cue))
-    return F.regexp_replace(joined(tokens(phrase)), rf"(?:(?:^| )(?:{TITLE_LAST})(?= |$))+$", "")
+    return F.regexp_replace(joined(tokens(phrase)), TITLE_TAIL, "")
 
 
 def _cut(cue: str) -> Callable[[Column], Column]:

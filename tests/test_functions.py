@@ -1,5 +1,7 @@
 """Column functions against hand-derived cases and properties."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,6 +83,14 @@ def test_head_phrase(spark):
     assert {r["t"]: r["h"] for r in df.collect()} == want
 
 
+def test_head_phrase_twins(spark):
+    r = random.Random(1)
+    bits = "Steel Bolt Drill 3 in. with With in In up to - Kit, Red, (2-Pack) for Home and Bag 12 Gauge x 5-Way includes lid ft. Water Pipe Black".split()
+    titles = [" ".join(r.choices(bits, k=r.randint(0, 16))) for _ in range(1500)]
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", X.head_phrase(F.col("t")).alias("native"), L.head_phrase(F.col("t")).alias("arrow")).collect()
+    assert all(x["native"] == x["arrow"] for x in got) and len({x["native"] for x in got}) > 500
+
+
 def test_segment():
     assert L.split_by("bluebolt saw", "blue bolt") == "blue bolt saw"
 
