@@ -86,3 +86,28 @@ def test_configured_run(spark, tmp_path):
         with pytest.raises(KeyError):
             R.settings(bad)
     assert R.sampled(cases, 5).count() == 10 and len(registry.REGISTRY) > 140
+
+
+def test_greedy_forest_options(spark):
+    from lexaline.models import greedy_forest as G
+
+    r = random.Random(4)
+    rows = [(x := r.randint(0, 9), y := r.randint(0, 9), float(2 * (x > 4) + (y > 6) + (x > 4) * (y < 3)), 1.0 + (x % 3)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "x int, y int, t double, w double")
+    weighted = G.fit(df, ["x", "y"], "t", max_leaves=4, weight="w")
+    repeated = G.fit(df.select("x", "y", "t", F.explode(F.array_repeat(F.lit(1), F.col("w").cast("int")))), ["x", "y"], "t", max_leaves=4)
+    assert [(x.path, round(x.weight, 6)) for x in weighted.leaves] == [(x.path, round(x.weight, 6)) for x in repeated.leaves]
+    plain = G.fit(df, ["x", "y"], "t", max_leaves=5)
+    deep = G.fit(df, ["x", "y"], "t", max_leaves=5, depth_penalty=1000.0)
+    assert sum(len(x.path) for x in deep.leaves) <= sum(len(x.path) for x in plain.leaves) and G.Penalty(2.0, 3.0).at(2) == 18.0
+    more = G.fit(df, ["x", "y"], "t", max_leaves=6, start=G.fit(df, ["x", "y"], "t", max_leaves=3))
+    assert len(more.leaves) == 6 and len(G.fit(df, ["x", "y"], "t", max_leaves=3).leaves) == 3
+    one = G.fit(df, ["x", "y"], "t", max_leaves=3, feature_share=0.5, seed=1)
+    assert [x.path for x in one.leaves] == [x.path for x in G.fit(df, ["x", "y"], "t", max_leaves=3, feature_share=0.5, seed=1).leaves]
+    row = G.evaluation(df, plain, "t", 1.5).first()
+    truth = {tuple(x): x["t"] for x in df.collect()}
+    preds = df.select("t", plain.predict().alias("p"), *[c.alias(n) for n, c in G.leaf_indicators(plain).items()]).collect()
+    assert row["rows"] == len(preds) and row["square_error"] == pytest.approx(sum((x["t"] - x["p"]) ** 2 for x in preds)) and row["accuracy"] == pytest.approx(sum((x["p"] >= 1.5) == (x["t"] >= 1.5) for x in preds) / len(preds))
+    weights = [x.weight for x in plain.leaves]
+    assert all(x["p"] == pytest.approx(plain.base + sum(w * x[f"leaf_{i}"] for i, w in enumerate(weights) if w)) for x in preds) and truth
+    assert sum(n for _, n, _, _ in G.rules(plain)) == len(plain.leaves) and row["leaves"] == len(plain.leaves)
