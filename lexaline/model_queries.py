@@ -99,3 +99,21 @@ def features_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["raw_svd_T", "q_t_11gram"]
     return K.with_corpus_features(registry.raw_cases(S.search_cases(spark, sf_dir)), names).select("row_id", *names)
+
+
+@query("ml_forest_evaluation")
+def ml_forest_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation line of a greedy forest, with weights by row and a penalty that grows with depth."""
+    from lexaline.models import greedy_forest as G
+
+    rows = _model_rows(spark, sf_dir).withColumn("w", 1.0 + F.col("row_id") % 2)
+    return G.evaluation(rows, G.fit(rows, NUMERIC, "relevance", max_leaves=4, weight="w", depth_penalty=1.5), "relevance", 2.0)
+
+
+@query("ml_forest_leaves")
+def ml_forest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexaline.models import greedy_forest as G
+
+    rows = _model_rows(spark, sf_dir)
+    forest = G.fit(rows, NUMERIC, "relevance", max_leaves=4)
+    return rows.select("row_id", *[c.alias(n) for n, c in G.leaf_indicators(forest).items()])

@@ -277,3 +277,9 @@ ORACLES["ens_average"] = f"WITH {PREDS} SELECT l_orderkey, l_linenumber, round((
 ORACLES["ens_gram"] = f"WITH {PREDS} SELECT " + ", ".join(f"round(sum({a} * {b}), 2) AS {a}_{b}" for a, b in (("p1", "p1"), ("p1", "p2"), ("p2", "p2"), ("p2", "p3"), ("p3", "y"), ("p1", "y"))) + " FROM preds"
 ORACLES["ens_greedy_step"] = f"WITH {PREDS}, t AS (SELECT 'p1' AS trial, p1 AS p, y FROM preds UNION ALL SELECT 'p2', p2, y FROM preds UNION ALL SELECT 'p3', p3, y FROM preds) SELECT trial, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse FROM t GROUP BY 1 ORDER BY 2, 1 LIMIT 1"
 ORACLES["st_history"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2"
+
+# all query words, and the spread of a group's distances
+ORACLES["co_w2v_avg_all"] = ORACLES["co_w2v_avg"].replace(f"least(len({tok('q')}), 3)", f"len({tok('q')})")
+ORACLES["co_group_spread"] = """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
+p AS (SELECT a.vec_id, max(1 - list_dot_product(a.u, b.u)) AS hi, min(1 - list_dot_product(a.u, b.u)) AS lo, stddev_samp(1 - list_dot_product(a.u, b.u)) AS sd FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1)
+SELECT vec_id, round(coalesce(hi, 0.0), 6) AS max_dist, round(coalesce(lo, 0.0), 6) AS min_dist, round(coalesce(sd, 0.0), 6) AS std_dist FROM u LEFT JOIN p USING (vec_id)"""
