@@ -54,10 +54,6 @@ def last_word(a: Column) -> Column:
     return F.coalesce(F.try_element_at(X.tokens(a), F.lit(-1)), F.lit(""))
 
 
-def _stats(a: Column, b: Column, label: str) -> dict[str, Column]:
-    return {f"{m}_of_{label}": r6(M.list_stat(M.positions(a, b), m) / (X.n_words(b) + 1.0)) for m in ("min", "max", "median", "mean", "std")}
-
-
 over_cases("tm_phrase_count", lambda q, t, d, b: {"query_in_title": M.phrase_count(q, t), "query_in_description": M.phrase_count(q, d), "brand_in_description": M.phrase_count(b, d), "of_in_description": M.phrase_count(F.lit("of"), d)})
 over_cases("tm_last_word", lambda q, t, d, b: {"last_in_title": M.common_count(last_word(q), t), "last_in_description": M.common_count(last_word(q), d)})
 over_cases("tm_common_substring", lambda q, t, d, b: {"word_in_title": M.common_count(q, t), "word_in_description": M.common_count(q, d), "word_in_brand": M.common_count(q, b), "title_in_description": M.common_count(t, d)})
@@ -65,7 +61,6 @@ over_cases("tm_common_exact", lambda q, t, d, b: {"word_in_title_exact": M.commo
 over_cases("tm_common_weighted", lambda q, t, d, b: {"title_weighted": r6(M.common_weighted(q, t)), "description_weighted": r6(M.common_weighted(q, d))})
 over_cases("tm_common_bigram", lambda q, t, d, b: {"bigram_in_title": M.common_bigrams(q, t), "bigram_in_description": M.common_bigrams(q, d), "title_bigram_in_description": M.common_bigrams(t, d)})
 over_cases("tm_common_ordered", lambda q, t, d, b: {"word_in_title_ordered": M.common_ordered(q, t), "title_in_description_ordered": M.common_ordered(t, d)})
-over_cases("tm_positions_stats", lambda q, t, d, b: _stats(q, t, "QinT") | _stats(q, d, "QinD") | _stats(t, q, "QfromT"))
 over_cases("tm_jaccard_dice_uni", lambda q, t, d, b: {"qt_jaccard": r6(M.jaccard(q, t)), "qt_dice": r6(M.dice(q, t)), "qd_jaccard": r6(M.jaccard(q, d)), "qd_dice": r6(M.dice(q, d)), "td_jaccard": r6(M.jaccard(t, d)), "td_dice": r6(M.dice(t, d))})
 over_cases("tm_jaccard_dice_bi", lambda q, t, d, b: {"qt_jaccard": r6(M.jaccard(q, t, 2)), "qt_dice": r6(M.dice(q, t, 2)), "td_jaccard": r6(M.jaccard(t, d, 2)), "td_dice": r6(M.dice(t, d, 2))})
 over_cases("tm_er_words", lambda q, t, d, b: {"er_in_query": M.er_count(q), "er_in_title": M.er_count(t), "er_in_description": M.er_count(d), "er_position": M.er_position(d, t)})
@@ -97,6 +92,19 @@ over_cases("tx_stem", lambda q, t, d, b: {"title": L.normalize(t), "description"
 over_cases("tx_segment", lambda q, t, d, b: {"parts": L.segment(q, t)})
 
 
+@query("tm_positions_stats")
+def tm_positions_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five statistics of each of three lists of positions; each list is made once."""
+    pairs = {"QinT": ("search_term", "title"), "QinD": ("search_term", "description"), "QfromT": ("title", "search_term")}
+    measures = ("min", "max", "median", "mean", "std")
+
+    def stats(a: Column, b: Column) -> Column:
+        return X.let(M.positions(a, b), lambda p: F.struct(*[r6(M.list_stat(p, m) / (X.n_words(b) + 1.0)).alias(m) for m in measures]))
+
+    made = S.search_cases(spark, sf_dir).select("row_id", *[stats(F.col(a), F.col(b)).alias(label) for label, (a, b) in pairs.items()])
+    return made.select("row_id", *[F.col(label)[m].alias(f"{m}_of_{label}") for label in pairs for m in measures])
+
+
 @query("tx_punct_rules")
 def tx_punct_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents").select("doc_id", X.apply_steps(F.lower("text"), X.PUNCTUATION).alias("plain"))
