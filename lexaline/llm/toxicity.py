@@ -27,6 +27,8 @@ from lexaline.llm.storage import materialize
 HASH_BITS = 18
 SIZES = (3, 4, 5)
 BUCKETS = 1 << HASH_BITS
+#: Tasks that share the sample.
+SAMPLE_TASKS = 8
 #: Characters that are hashed at a time; neighbours overlap by the longest n-gram.
 CHUNK = 1 << 20
 
@@ -100,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
     clean = materialize(labelled(labels), "toxicity-labels")
     counts = {r["label"]: r["count"] for r in clean.groupBy("label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    sample = materialize(sample_labelled(docs, clean, per_class).mapInPandas(_packed, "label int, grams binary"), "toxicity-sample")
+    # the rows are few and may come from any number of tasks, each of which would send its own counts
+    sample = materialize(sample_labelled(docs, clean, per_class).repartition(SAMPLE_TASKS).mapInPandas(_packed, "label int, grams binary"), "toxicity-sample")
     n_rows = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_pos, n_neg = n_rows.get(1, 0), n_rows.get(0, 0)
     weights = np.zeros(BUCKETS, np.float32)
