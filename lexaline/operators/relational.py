@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaline.sources.files import scratch
-
 from lexaline.functions.text import ngrams, word_tokens
+from lexaline.sources.files import scratch
 
-#: Buckets of relevance: least and greatest value, both excluded, and the value that names the bucket.
+#: Buckets of relevance with least and greatest value, both excluded, and the value that names the bucket.
 BUCKETS = ((0.99, 1.01, 1.0), (1.24, 1.34, 1.33), (1.49, 1.76, 1.67), (1.99, 2.01, 2.0), (2.24, 2.34, 2.33), (2.49, 2.76, 2.67), (2.99, 3.01, 3.0))
 GRID = (1.0, 1.33, 1.67, 2.0, 2.33, 2.67, 3.0)
 

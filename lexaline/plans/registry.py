@@ -26,6 +26,7 @@ class Feature:
     build: Callable[..., Column]
 
 
+#: The names of all features registered below, by which settings ask for them.
 REGISTRY: dict[str, Feature] = {}
 
 
