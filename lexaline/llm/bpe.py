@@ -242,7 +242,8 @@ def tokenizer(path: str) -> WordBpe:
 def encoded(docs: DataFrame, keep: list[str], path: str, text_col: str = "text") -> DataFrame:
     """Rows (keep, n_tokens, input_ids, decoded): token ids of every text and what they decode to.
 
-    Null and empty texts have no tokens. Batches leave ``ROWS_OUT`` rows at a time, which bounds a worker's memory.
+    Null and empty texts have no tokens; repeated rows come back as often as they occur, columns that aren't kept are left
+    out, an empty table stays empty. Batches leave ``ROWS_OUT`` rows at a time, which bounds a worker's memory.
     """
     fields = [docs.schema[c] for c in keep]
     schema = StructType([*fields, *StructType.fromDDL("n_tokens bigint, input_ids array<int>, decoded string").fields])

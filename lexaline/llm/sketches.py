@@ -21,7 +21,8 @@ STEP = 128
 
 
 def sketch(text: Column, width: int = 5, fraction: float = 0.125) -> Column:
-    """Sorted array of the kept hashes, signed; empty for texts without words. Fewer words than ``width`` are one shingle.
+    """Sorted array of the kept hashes, signed; empty for texts without words, null for null. Fewer words than ``width`` are
+    one shingle; a shingle that occurs again counts once, so equal texts have equal sketches.
 
     Words are what stands between white space.
     """
