@@ -21,13 +21,13 @@ STEP = 128
 
 
 def sketch(text: Column, width: int = 5, fraction: float = 0.125) -> Column:
-    """Sorted array of the kept hashes, signed; empty for texts without words, null for null. Fewer words than ``width`` are
+    """Sorted array of the kept hashes, signed; empty for texts without words and for null. Fewer words than ``width`` are
     one shingle; a shingle that occurs again counts once, so equal texts have equal sketches.
 
     Words are what stands between white space.
     """
     limit = -(1 << 63) + int(fraction * (1 << 64))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
 
     def hashes(w: Column) -> Column:
         n = F.greatest(F.size(w) - width, F.lit(0))

@@ -375,6 +375,11 @@ def test_sketch_keeps_small_hashes_and_estimates(spark):
     assert abs(row["r"] - 0.5) < 0.08 and row["c"] > 0.98 and abs(row["d"] - 0.5) < 0.08
 
 
+def test_sketch_of_nothing(spark):
+    df = spark.createDataFrame([(None,), ("",), (" \n",), ("a a a a a a a",)], "t string").select(sketches.sketch(F.col("t")).alias("s"))
+    assert [len(r["s"]) for r in df.collect()] == [0, 0, 0, 1]
+
+
 def test_blocks_of_many_ids(spark, monkeypatch):
     monkeypatch.setattr(sketches, "BLOCK_ROWS", 7)
     monkeypatch.setattr(sketches, "STEP", 4)
