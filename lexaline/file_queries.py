@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaline.operators import relational as R
 from lexaline.queries import Query, r6
 from lexaline.sources import files as P
 from lexaline.sources import tables as S
@@ -173,3 +174,23 @@ def src_set_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.select(F.col("l_partkey").alias("id")).distinct().write.parquet(path)
     first, second = (spark.read.parquet(p) for p in paths)
     return first.join(second, "id", "left_semi")
+
+
+_TERM = "lower(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '')[1:4], ' '))"
+
+
+@query("tx_dictionary", f"SELECT item_id AS qid, CASE WHEN q IN (SELECT {_TERM} FROM benchmark WHERE item_id % 2 = 0) THEN 'fixed ' || q ELSE q END AS q FROM (SELECT item_id, {_TERM} AS q FROM benchmark)")
+def tx_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole queries corrected through a JSON dictionary, which has those of every second item."""
+    path = P.scratch(spark, "dictionary")
+    terms = S.search_terms(spark, sf_dir).select("qid", F.lower("search_term").alias("q"))
+    P.write_dictionary(terms.where("qid % 2 = 0").select("q", F.concat(F.lit("fixed "), F.col("q")).alias("new")).distinct(), path, "q", "new")
+    return R.corrected(terms, "q", P.read_dictionary(spark, path))
+
+
+@query("tx_rewrites", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN w = string_split(p_name, ' ')[1] THEN 'new' ELSE w END), ' ') ELSE p_name END AS q FROM part")
+def tx_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of every third name, where the title is that of the rule."""
+    rows = S.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("q"), F.col("p_partkey").cast("string").alias("t"))
+    rules = rows.where("p_partkey % 3 = 0").select(F.get(F.split("q", " "), F.lit(0)).alias("query_item"), F.lit("new").alias("title_item"), F.col("q").alias("query"), F.col("t").alias("title"))
+    return R.rewritten(rows, "q", "t", rules).select("p_partkey", "q")

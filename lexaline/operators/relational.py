@@ -104,6 +104,24 @@ def before_parts(parts: DataFrame, by: list[str], sums: dict[str, Column]) -> Da
     return each.select(*by, "part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
 
 
+def corrected(rows: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """``rows`` with whole texts of ``column`` replaced as ``dictionary(term, replacement)`` says; of several replacements of a
+    term the least counts. Texts without an entry, and nulls, stay."""
+    known = dictionary.where("term is not null and replacement is not null").groupBy(F.col("term").alias("_term")).agg(F.min("replacement").alias("_new"))
+    joined = rows.join(known, F.col(column) == F.col("_term"), "left")
+    return joined.withColumn(column, F.coalesce("_new", column)).select(rows.columns)
+
+
+def rewritten(rows: DataFrame, query: str, title: str, rewrites: DataFrame) -> DataFrame:
+    """``rows`` with words of queries replaced for their title: ``rewrites(query_item, title_item, query, title)`` gives, for a
+    pair of query and title, a word and what stands for it. Of several rules for a word the least counts."""
+    rules = F.array_sort(F.collect_list(F.struct("query_item", "title_item")))
+    known = rewrites.dropna().groupBy(F.col("query").alias("_q"), F.col("title").alias("_t")).agg(rules.alias("_rules"))
+    joined = rows.join(known, (F.col(query) == F.col("_q")) & (F.col(title) == F.col("_t")), "left")
+    words = F.transform(F.split(query, " ", -1), lambda w: F.coalesce(F.get(F.filter("_rules", lambda r: r["query_item"] == w), F.lit(0))["title_item"], w))
+    return joined.withColumn(query, F.when(F.col("_rules").isNull(), F.col(query)).otherwise(F.array_join(words, " "))).select(rows.columns)
+
+
 def query_classes(df: DataFrame, query: str, relevance: str) -> DataFrame:
     """(query, n1, n2, n3, is_general, is_nonsense) from the whole-number relevances of each query."""
     counts = [F.count_if(F.floor(relevance) == k).alias(f"n{k}") for k in (1, 2, 3)]

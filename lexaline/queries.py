@@ -117,7 +117,7 @@ def tx_entity_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tx_spell_dict")
 def tx_spell_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole queries replaced through a dictionary table; the least spelling of each sorted letter bag stands for all."""
+    """Whole queries replaced through a table: of those that start with the same two letters the least stands for all."""
     words = S.search_terms(spark, sf_dir).select("qid", F.lower("search_term").alias("q"))
     fixes = words.groupBy(F.substring("q", 1, 2).alias("head")).agg(F.min("q").alias("fixed"))
     return words.withColumn("head", F.substring("q", 1, 2)).join(fixes, "head", "left").select("qid", F.coalesce("fixed", "q").alias("q"))
