@@ -25,8 +25,10 @@ from lexaline.llm.memory import give_back
 
 #: Words of more symbols than this are merged one by one with a heap.
 LONG_WORD = 200
-#: Words whose encoding a worker remembers at most; then it forgets all and starts again.
+#: Words whose encoding a worker remembers at most; then it forgets all and starts again. Stages that share their workers
+#: with others remember less than a query that encodes alone.
 CACHE = 100_000
+LARGE_CACHE = 400_000
 #: Characters of text whose new words are merged together.
 GROUP_CHARS = 300_000
 #: Rows with token ids that leave a worker at a time.
@@ -67,6 +69,7 @@ class WordBpe:
         self.by_pair = {int(k): (r, int(m)) for r, (k, m) in enumerate(zip(keys.tolist(), made.tolist()))}
         #: Of each known piece of text: number of tokens, the ids as text, the tokens as text.
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.cache = CACHE
 
     def pieces(self, text: str) -> list[str]:
         """The text between white space, in order, special tokens as pieces of their own; no word spans two pieces."""
@@ -167,7 +170,7 @@ class WordBpe:
 
     def _learn(self, texts: list[list[str]]) -> None:
         """Encode the pieces that are not known yet, all their new words together."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known.clear()
         fresh = {p for pieces in texts for p in pieces}.difference(self.known)
         new, mixed = set(), []
@@ -250,6 +253,7 @@ def encoded(docs: DataFrame, keep: list[str], path: str, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
+        bpe.cache = CACHE
         batch = part = ids = sizes = offsets = lists = decoded = None
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
@@ -272,8 +276,10 @@ def round_trip(texts: Column, path: str) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of every text; null and empty texts have no tokens."""
 
     @F.pandas_udf(RESULT)
-    def digests(batch: pd.Series) -> pd.DataFrame:
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
-        return pd.DataFrame(bpe.digests([t or "" for t in batch]), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.cache = LARGE_CACHE
+        for batch in batches:
+            yield pd.DataFrame(bpe.digests([t or "" for t in batch]), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(texts)
