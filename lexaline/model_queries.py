@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaline.models import evaluation as E
 from lexaline.models import learners
 from lexaline.models import selection as L
+from lexaline.operators import relational as B
 from lexaline.oracles import PREDS
 from lexaline.plans import corpus_features as K
 from lexaline.plans import registry
@@ -117,3 +119,37 @@ def ml_forest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
     forest = G.fit(rows, NUMERIC, "relevance", max_leaves=4)
     return rows.select("row_id", *[c.alias(n) for n, c in G.leaf_indicators(forest).items()])
+
+
+@query("ev_break_even", f"WITH {PREDS}, r AS (SELECT y > 30 AS t, row_number() OVER (ORDER BY p1 DESC, l_orderkey * 10 + l_linenumber) AS k, count(*) FILTER (y > 30) OVER () AS n FROM preds) SELECT max(n) AS positives, round(count(*) FILTER (t AND k <= n) / max(n), 6) AS break_even FROM r")
+def ev_break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _preds(spark, sf_dir).select("p1", (F.col("y") - 30).alias("y"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"))
+    return E.break_even(rows, "p1", "y", "key").select("positives", r6(F.col("break_even")).alias("break_even"))
+
+
+_LOSS = "SELECT l_quantity / 10 - 2.5 AS p, CASE WHEN l_tax > 0.04 THEN 1.0::DOUBLE ELSE -1.0 END AS y FROM lineitem"
+
+
+@query("ev_mean_loss", f"SELECT round(avg((p - y) * (p - y) / 2), 6) AS square, round(avg(ln(1 + exp(-y * p))), 6) AS logistic, round(avg(exp(-y * p)), 6) AS expo FROM ({_LOSS})")
+def ev_mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, y = F.col("l_quantity") / 10 - 2.5, F.when(F.col("l_tax") > 0.04, 1.0).otherwise(-1.0)
+    return S.table(spark, sf_dir, "lineitem").agg(*[r6(F.avg(E.loss(k, p, y)[0])).alias(k) for k in ("square", "logistic", "expo")])
+
+
+@query("rel_left_join_description", "SELECT doc_id AS product_uid, source AS brand, CASE WHEN doc_id % 2 = 0 THEN text END AS description FROM documents")
+def rel_left_join_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("product_uid"), F.col("source").alias("brand"))
+    return B.with_description(rows, docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("product_uid"), F.col("text").alias("description")), "product_uid")
+
+
+@query("rel_positional_join", "WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS k FROM part), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) SELECT p_partkey, o_orderkey FROM a JOIN b USING (k)")
+def rel_positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.side_by_side(S.table(spark, sf_dir, "part").select("p_partkey"), S.table(spark, sf_dir, "orders").select("o_orderkey"), "p_partkey", "o_orderkey")
+
+
+@query("rel_concat_preds", f"WITH {PREDS} SELECT l_orderkey, l_linenumber, 'p1' AS trial, round(p1, 6) AS pred FROM preds UNION ALL SELECT l_orderkey, l_linenumber, 'p2', round(p2, 6) FROM preds")
+def rel_concat_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of two trials, one under the other."""
+    parts = [_preds(spark, sf_dir).select("l_orderkey", "l_linenumber", F.lit(p).alias("trial"), r6(F.col(p)).alias("pred")) for p in ("p1", "p2")]
+    return parts[0].unionByName(parts[1])

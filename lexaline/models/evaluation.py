@@ -93,6 +93,19 @@ def classification_report(df: DataFrame, pred: str, truth: str) -> DataFrame:
     return counts.select("n", ((F.col("n") - F.col("fp") - F.col("fn")) / F.col("n")).alias("accuracy"), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), zero).alias("precision"), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), zero).alias("recall"), F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), zero).alias("f1"), "rmse")
 
 
+def break_even(df: DataFrame, pred: str, truth: str, key: str) -> DataFrame:
+    """(positives, break_even): the share of true ones among as many rows of greatest prediction as there are true ones, where
+    precision and recall are equal; of equal predictions the least key comes first, null predictions come last."""
+    true = F.coalesce(F.col(truth) > 0, F.lit(False))
+    scored = df.select((-F.coalesce(F.col(pred).cast("double"), F.lit(float("-inf")))).alias("rank_by"), F.col(key).alias("key"), true.alias("y"))
+    ordered = in_order(scored, ["rank_by", "key"], "break-even")
+    before = before_parts(ordered, [], {"before": F.count("*")})
+    total = ordered.agg(F.count_if("y").alias("positives"))
+    ranked = ordered.join(F.broadcast(before), "part").crossJoin(F.broadcast(total)).where(F.col("before") + F.col("at") < F.col("positives"))
+    hits = ranked.agg(F.count_if("y").alias("hits"))
+    return total.crossJoin(hits).select("positives", F.try_divide("hits", "positives").alias("break_even"))
+
+
 def best_split(df: DataFrame, features: list[str], residual: str, penalty: float, least: int = 10) -> DataFrame:
     """(feature, border, gain): the split of each feature that lowers the L2-penalised square loss most.
 

@@ -104,6 +104,21 @@ def before_parts(parts: DataFrame, by: list[str], sums: dict[str, Column]) -> Da
     return each.select(*by, "part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
 
 
+def with_description(rows: DataFrame, descriptions: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the other columns of ``descriptions``, null where it has no row for the key."""
+    return rows.join(descriptions, key, "left")
+
+
+def side_by_side(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
+    """The rows of both tables by their place in the order of a column of each; places that one lacks are left out."""
+    numbered = []
+    for df, order in ((a, order_a), (b, order_b)):
+        ordered = in_order(df, [order], "side")
+        placed = ordered.join(F.broadcast(before_parts(ordered, [], {"_before": F.count("*")})), "part")
+        numbered.append(placed.withColumn("_place", F.col("_before") + F.col("at")).drop("part", "at", "_before"))
+    return numbered[0].join(numbered[1], "_place").drop("_place")
+
+
 def corrected(rows: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """``rows`` with whole texts of ``column`` replaced as ``dictionary(term, replacement)`` says; of several replacements of a
     term the least counts. Texts without an entry, and nulls, stay."""
