@@ -37,6 +37,12 @@ def ml_three_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.three_part(rows, rows, NUMERIC, "relevance")
 
 
+@query("ml_extra")
+def ml_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _model_rows(spark, sf_dir)
+    return L.extra_trees(rows, rows, NUMERIC, "relevance")
+
+
 @query("ml_kernel")
 def ml_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)

@@ -465,7 +465,7 @@ def _model(family: str) -> Query:
     return run
 
 
-QUERIES |= {f"ml_{family}": _model(family) for family in ("forest", "extra", "boosted", "ridge", "linear", "lasso")}
+QUERIES |= {f"ml_{family}": _model(family) for family in ("forest", "boosted", "ridge", "linear", "lasso")}
 
 
 @query("ml_oof")

@@ -57,6 +57,13 @@ def test_kernel_machine_fits_a_curve(curve):
     assert rmse(kernel, curve) < 0.1 < rmse(plain, curve)
 
 
+def test_extra_trees_fit_a_curve(curve):
+    preds = L.extra_trees(curve, curve, ["x", "y"], "truth", trees=6, depth=6)
+    assert rmse(preds, curve) < 0.25 and preds.count() == 400
+    again = L.extra_trees(curve, curve, ["x", "y"], "truth", trees=2)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, L.extra_trees(curve, curve, ["x", "y"], "truth", trees=2).collect()))
+
+
 def test_three_part_and_importance(curve):
     preds = L.three_part(curve, curve, ["x", "y"], "truth")
     assert rmse(preds, curve) < 0.35 and preds.agg(F.min("pred"), F.max("pred")).first()[0] >= 1
