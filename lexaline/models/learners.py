@@ -66,13 +66,19 @@ def search(family: str, train: DataFrame, features: list[str], truth: str, space
     return sorted(trials, key=lambda t: t["loss"])
 
 
-def stacked(level_one: dict[str, DataFrame], truth: DataFrame, key: str = "row_id") -> tuple[PipelineModel, DataFrame]:
-    """Ridge regression over the out-of-fold predictions of several models, the same columns for fit and use."""
-    rows = truth
-    for name, preds in level_one.items():
-        rows = rows.join(preds.select(key, F.col("pred").alias(name)), key)
+def _beside(preds: dict[str, DataFrame], rows: DataFrame, key: str) -> DataFrame:
+    for name, df in preds.items():
+        rows = rows.join(df.select(key, F.col("pred").alias(name)), key)
+    return rows
+
+
+def stacked(level_one: dict[str, DataFrame], truth: DataFrame, asked: dict[str, DataFrame], key: str = "row_id") -> tuple[PipelineModel, DataFrame]:
+    """Ridge regression over the predictions of several models: fitted on out-of-fold ones, which no model made of rows it had
+    seen, and applied to those of the same models for the rows asked for."""
+    rows = _beside(level_one, truth, key)
     model = fit("ridge", rows, list(level_one), "truth", regParam=0.01)
-    return model, predict(model, rows, list(level_one), key)
+    keys = next(iter(asked.values())).select(key)
+    return model, predict(model, _beside(asked, keys, key), list(level_one), key)
 
 
 def ordinal(train: DataFrame, test: DataFrame, features: list[str], truth: str, key: str = "row_id") -> DataFrame:

@@ -490,7 +490,9 @@ def ml_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
     level_one = {f: learners.out_of_fold(f, rows, NUMERIC, "relevance") for f in ("ridge", "linear")}
     truth = rows.where("relevance is not null").select("row_id", F.col("relevance").alias("truth"))
-    return learners.stacked(level_one, truth)[1]
+    test = rows.where("relevance is null")
+    asked = {f: learners.predict(learners.fit(f, rows, NUMERIC, "relevance"), test, NUMERIC) for f in level_one}
+    return learners.stacked(level_one, truth, asked)[1]
 
 
 @query("ml_ordinal")

@@ -57,6 +57,16 @@ def test_kernel_machine_fits_a_curve(curve):
     assert rmse(kernel, curve) < 0.1 < rmse(plain, curve)
 
 
+def test_stacking_predicts_rows_it_has_not_seen(curve):
+    train, test = curve.where("row_id % 4 > 0"), curve.where("row_id % 4 = 0")
+    families = ("ridge", "forest")
+    level_one = {f: learners.out_of_fold(f, train, ["x", "y"], "truth") for f in families}
+    asked = {f: learners.predict(learners.fit(f, train, ["x", "y"], "truth"), test, ["x", "y"]) for f in families}
+    preds = learners.stacked(level_one, train.select("row_id", "truth"), asked)[1]
+    assert {r["row_id"] for r in preds.collect()} == {r["row_id"] for r in test.collect()}
+    assert rmse(preds, test) <= rmse(asked["ridge"], test) + 0.01
+
+
 def test_extra_trees_fit_a_curve(curve):
     preds = L.extra_trees(curve, curve, ["x", "y"], "truth", trees=6, depth=6)
     assert rmse(preds, curve) < 0.25 and preds.count() == 400
