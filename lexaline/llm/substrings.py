@@ -515,30 +515,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def merged_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, stop in sorted(runs):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(stop, out[-1][1]))
-        else:
-            out.append((start, stop))
-    return out
-
-
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (id, n_bytes, digest, text, runs); those without runs have their digest, the others a text."""
     for table in batches:
         data, starts, stops = _text_bytes(table.column(3))
-        digests, removed, spans_of = table.column(2).to_pylist(), [0] * table.num_rows, [0] * table.num_rows
-        for i in np.flatnonzero(table.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist():
-            raw = memoryview(data[starts[i] : stops[i]])
-            spans = merged_runs([(r["start"], r["stop"]) for r in table.column(4)[i].as_py()])
-            digest, at = hashlib.sha256(), 0
-            for start, stop in spans:
+        n, digests, listed = table.num_rows, table.column(2).to_pylist(), table.column(4)
+        flat = listed.flatten()
+        row = np.repeat(np.arange(n), np.diff(listed.offsets.to_numpy()))
+        left, right = (flat.field(k).to_numpy().astype(np.int64) for k in range(2))
+        order = np.lexsort((left, row))
+        row, left, right = _runs(row[order], left[order], right[order])
+        bounds = np.searchsorted(row, np.arange(n + 1))
+        removed, spans_of = np.bincount(row, right - left, n).astype(np.int64), np.diff(bounds)
+        for i in np.flatnonzero(spans_of).tolist():
+            raw, digest, at = memoryview(data[starts[i] : stops[i]]), hashlib.sha256(), 0
+            for start, stop in zip(left[bounds[i] : bounds[i + 1]].tolist(), right[bounds[i] : bounds[i + 1]].tolist()):
                 digest.update(raw[at:start])
                 at = stop
             digest.update(raw[at:])
-            digests[i], removed[i], spans_of[i] = digest.hexdigest(), sum(b - a for a, b in spans), len(spans)
+            digests[i] = digest.hexdigest()
         yield pa.RecordBatch.from_arrays([table.column(0), table.column(1), pa.array(removed, pa.int64()), pa.array(spans_of, pa.int64()), pa.array(digests, pa.string())], schema=_RESULT)
 
 
