@@ -118,11 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "at": [np.flatnonzero(_bits(g)[wanted]).astype(np.int32).tobytes() for g in batch["grams"]]})
+            yield pd.DataFrame({"label": batch["label"], "at": [np.packbits(_bits(g)[wanted]).tobytes() for g in batch["grams"]]})
 
     rows = sample.mapInPandas(columns, "label int, at binary").orderBy("label", F.xxhash64("at")).toPandas()  # the bounded sample
     y = rows["label"].to_numpy(np.float64)
-    x = [np.frombuffer(at, np.int32) for at in rows["at"]]
+    x = [np.flatnonzero(np.unpackbits(np.frombuffer(at, np.uint8), count=len(wanted))) for at in rows["at"]]
     weight = np.where(y == 1, max(share, 1e-3) / n_pos, (1 - max(share, 1e-3)) / n_neg)
     w, bias = _logistic(x, ratio[wanted], y, weight / weight.sum(), rounds, l2)
     weights[wanted] = w * ratio[wanted]
