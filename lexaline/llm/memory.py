@@ -31,3 +31,13 @@ def by_parts(batches: Iterator[pd.Series], work: Callable[[list], list], dtype:
         yield pd.Series(out, dtype=dtype)
         del batch, out
         give_back()
+
+
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a task's batches; memory goes back when it ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run

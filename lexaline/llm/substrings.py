@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexaline.llm.memory import released
 from lexaline.llm.storage import materialize
 
 LENGTH = 100
@@ -564,13 +565,13 @@ def covered_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     overlap. ``t1`` and ``t2`` tell the texts of one id apart and order them."""
     names = ["id", "t1", "t2"]
     texts = named(docs, id_col, text_col)
-    places = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_places, PLACES)
+    places = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(released(_places), PLACES)
     sorted_places = places.repartition("h", "spread").sortWithinPartitions(*PLACE_ORDER)
-    found = materialize(sorted_places.mapInArrow(_repeated, FOUND), "substrings-found")
+    found = materialize(sorted_places.mapInArrow(released(_repeated), FOUND), "substrings-found")
     wanted = found.where("h is not null").groupBy(*names).agg(F.collect_list(F.struct("start", "stop", "h", "many")).alias("wanted"))
-    contexts = texts.join(wanted, names).select(*names, "text", "wanted").mapInArrow(_contexts, CONTEXTS)
+    contexts = texts.join(wanted, names).select(*names, "text", "wanted").mapInArrow(released(_contexts), CONTEXTS)
     spread = contexts.repartition("h").sortWithinPartitions(*CONTEXT_ORDER)
-    compared = materialize(spread.mapInArrow(_compare, "id bigint, t1 bigint, t2 bigint, start int, stop int"), "substrings-compared")
+    compared = materialize(spread.mapInArrow(released(_compare), "id bigint, t1 bigint, t2 bigint, start int, stop int"), "substrings-compared")
     return texts, found.where("h is null").select(*names, "start", "stop").unionByName(compared)
 
 
@@ -586,5 +587,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_text = runs.groupBy(*names).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     kept_whole = F.col("runs").isNull()
     joined = texts.join(by_text, names, "left").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(kept_whole, F.sha2("text", 256)).alias("digest"), F.when(~kept_whole, F.col("text")).alias("text"), "runs")
-    result = joined.mapInArrow(_summaries, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    result = joined.mapInArrow(released(_summaries), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return result.select(F.nullif(F.col("id"), F.lit((1 << 63) - 1)).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
