@@ -1,12 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash bands find candidates, exact similarity decides.
-
-SimHash can't search this: texts of similarity 0.8 differ in some ten of 64 bits, and covering masks for so wide a radius
-are more than 2^10. A band is the hash of ``BAND`` min-hash values; texts of similarity 0.8 share none of the ``BANDS`` bands with a
-chance of 3 in 100,000, more similar ones with a lesser one. All texts of a bucket are compared with each other, on
-their whole sets of shingle hashes; copies of one set are one text. Buckets with one list of members are compared once. In
-a bucket of more than ``BUCKET_SHINGLES`` every text is first compared with one of them, its leader. Texts that are linked
-to the leader are one part already, so only pairs with a text that isn't are left: blocks of such texts are compared with all
-blocks of the bucket, no task holds more than two blocks, and a large group of copies of one text costs a pass.
+"""Near copies by the Jaccard similarity of word shingles: SimHash finds candidates, exact similarity decides.
+
+Sets of shingle hashes have wide SimHash fingerprints, which :func:`lexaline.llm.simhash.wide_groups` searches with covering masks,
+word by word; copies of one set are one text. A group of texts that share a bucket and differ in few bits is compared on
+whole sets of shingle hashes, groups with one list of members once. The first word's links are made
+components before the others are searched, and these bring together only texts of different components, so many copies of
+one text are compared for one word and not for all. In a group of more than ``BUCKET_SHINGLES`` every text is first
+compared with one of them, its leader. Texts that are linked to the leader are one part already, so only pairs with a text that
+isn't are left: blocks of such texts are compared with all blocks of the group, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -22,20 +22,14 @@ from pyspark.sql import functions as F
 
 from lexaline.llm.components import connected_components
 from lexaline.llm.memory import PART, give_back
-from lexaline.llm.storage import materialize
+from lexaline.llm.simhash import SEED, WIDE, wide_fingerprint, wide_groups
+from lexaline.llm.storage import forget, materialize
 
 WIDTH = 5
 SIMILARITY = 0.8
-BAND = 4
-BANDS = 20
 BUCKET_SHINGLES = 200_000
-SEED = 42
-#: Shingle hashes whose min-hash values are computed at a time.
-CHUNK = 1024
-
-_RANDOM = np.random.default_rng(SEED)
-_FLIP = _RANDOM.integers(0, 1 << 63, BAND * BANDS, np.uint64) << np.uint64(1)
-_FACTOR = _RANDOM.integers(0, 1 << 63, BAND * BANDS, np.uint64) << np.uint64(1) | np.uint64(1)
+#: Words of the fingerprints that are searched in one job, in each round; a round's links are made components before the next.
+ROUNDS = ((range(0, 1),), (range(1, 4), *(range(w, w + 4) for w in range(4, 2 * WIDE, 4))))
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -55,24 +49,13 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """Hash of each band; none for an empty set, whose only copies are empty sets."""
-    if not len(shingles):
-        return []
-    least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), CHUNK):
-        np.minimum(least, ((shingles[at : at + CHUNK, None] ^ _FLIP) * _FACTOR).min(axis=0), out=least)
-    keys = [xxhash.xxh64_intdigest(least[BAND * b : BAND * (b + 1)].tobytes(), b) for b in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
 def _signed(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         made = []
         for t in batch.pop("text"):
             s = shingle_set(t, width)
-            made.append((set_hash(s), len(s), bands(s)))
-        yield batch.assign(fp=[m[0] for m in made], n=[m[1] for m in made], bands=[m[2] for m in made])
+            made.append((set_hash(s), len(s), wide_fingerprint(s).view(np.int64)))
+        yield batch.assign(fp=[m[0] for m in made], n=[m[1] for m in made], wide=[m[2] for m in made])
         del batch, made
         give_back()
 
@@ -132,31 +115,35 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (id, fp, component_id) for every row of ``docs``, fp being the hash of its shingle set; other columns are ignored.
 
-    Components are those of the graph of texts at or above ``similarity``. Nulls, empty texts and repeated rows are
-    treated as in :func:`lexaline.llm.simhash.near_groups`.
+    Components are those of the graph of texts at or above ``similarity``, with the search's chance of a miss, which grows
+    as ``similarity`` falls below 0.8. Nulls, empty texts and repeated rows are treated as in :func:`lexaline.llm.simhash.near_groups`.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    signed = texts.mapInPandas(lambda b: _signed(b, width), f"id {id_type}, tie bigint, fp bigint, n int, bands array<bigint>")
+    signed = texts.mapInPandas(lambda b: _signed(b, width), f"id {id_type}, tie bigint, fp bigint, n int, wide array<bigint>")
     rows = materialize(signed, "copies-rows")
-    first = materialize(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.min(F.struct("tie", "id")).alias("one"), F.min("n").alias("n"), F.min("bands").alias("bands")), "copies-distinct")
-
-    keyed = first.select("fp", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1")
-    members = materialize(keyed.join(shared, "key"), "copies-members")
-    small = members.where(F.col("total") <= BUCKET_SHINGLES).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("fps").distinct()
-    small = small.select(F.xxhash64("fps").alias("g"), F.explode("fps").alias("fp"))
-    needed = first.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("one.tie").alias("_tie"), F.col("one.id").alias("_id"))
-    # one text of each set; repeated rows still come more than once
-    of_set = texts.join(needed, (F.col("tie") == F.col("_tie")) & F.col("id").eqNullSafe(F.col("_id"))).select("fp", "text").mapInPandas(lambda b: _with_shingles(b, width), "fp bigint, shingles array<bigint>")
-    sets = materialize(of_set.dropDuplicates(["fp"]), "copies-sets")
-
-    led = _led(members.where(F.col("total") > BUCKET_SHINGLES), sets, similarity)
-    groups = small.unionByName(_blocks(led))
-    compared = groups.join(sets, "fp").repartition("g").sortWithinPartitions("g")
-    edges = compared.select("g", "fp", "shingles").mapInArrow(lambda b: _linked(b, similarity), "a bigint, b bigint")
-    edges = edges.unionByName(led.where("linked and fp <> leader").select(F.col("fp").alias("a"), F.col("leader").alias("b")))
-    roots = materialize(connected_components(materialize(edges, "copies-edges")), "copies-roots")
+    first = materialize(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.min(F.struct("tie", "id")).alias("one"), F.min("n").alias("n"), F.min("wide").alias("wide")), "copies-distinct")
+
+    # a set of n is similar to no other one if n / (n + 1) is too little
+    searched = first.where(F.col("n") >= similarity * (F.col("n") + 1) - 1e-9).select("fp", "wide")
+    sets = edges = roots = None
+    for words in ROUNDS:
+        rooted = searched.withColumn("root", F.col("fp")) if roots is None else _with_roots(searched, roots)
+        members = None
+        for some in words:
+            found = materialize(wide_groups(rooted, some), "copies-members")
+            members = found if members is None else members.unionByName(found)
+        needed = members.select("fp").distinct() if sets is None else members.select("fp").distinct().join(sets.select("fp"), "fp", "left_anti")
+        needed = materialize(first.join(needed, "fp", "left_semi").select("fp", F.col("one.tie").alias("_tie"), F.col("one.id").alias("_id")), "copies-needed")
+        # one text of each set; repeated rows still come more than once
+        of_set = texts.join(needed, (F.col("tie") == F.col("_tie")) & F.col("id").eqNullSafe(F.col("_id"))).select("fp", "text").mapInPandas(lambda b: _with_shingles(b, width), "fp bigint, shingles array<bigint>")
+        new_sets = materialize(of_set.dropDuplicates(["fp"]), "copies-sets")
+        sets = new_sets if sets is None else sets.unionByName(new_sets)
+        found = materialize(_edges(members.distinct().join(first.select("fp", "n"), "fp"), sets, similarity), "copies-edges")
+        edges = found if edges is None else edges.unionByName(found)
+        before, roots = roots, materialize(connected_components(edges), "copies-roots")
+        for done in (members, needed, *([before] if before is not None else [])):
+            forget(docs.sparkSession, done)
 
     rooted = first.select("fp", "first_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -164,6 +151,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _with_roots(searched: DataFrame, roots: DataFrame) -> DataFrame:
+    joined = searched.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return joined.withColumn("root", F.coalesce("root", "fp"))
+
+
+def _edges(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect the similar texts of each group of ``members(g, fp, n)``."""
+    total = members.groupBy("g").agg(F.sum("n").alias("total"))
+    members = materialize(members.join(total, "g"), "copies-totals")
+    small = members.where(F.col("total") <= BUCKET_SHINGLES).select("g", "fp")
+    led = _led(members.where(F.col("total") > BUCKET_SHINGLES).withColumnRenamed("g", "key"), sets, similarity)
+    compared = small.unionByName(_blocks(led)).join(sets, "fp").repartition("g").sortWithinPartitions("g")
+    edges = compared.select("g", "fp", "shingles").mapInArrow(lambda b: _linked(b, similarity), "a bigint, b bigint")
+    return edges.unionByName(led.where("linked and fp <> leader").select(F.col("fp").alias("a"), F.col("leader").alias("b")))
+
+
 def _led(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(key, fp, n, total, leader, linked): the members of crowded buckets, and whether they are similar to their leader."""
     leaders = crowded.groupBy("key").agg(F.min("fp").alias("leader"))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -190,6 +191,85 @@ def test_pipeline_drops_edited_copies(spark):
     assert [x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").orderBy("doc_id").collect()] == [0, 4]
 
 
+def test_wide_fingerprint_starts_with_the_plain_one():
+    text = words(random.Random(15), 700)
+    assert len(set(text.split())) > 4
+    s = near_copies.shingle_set(text)
+    wide = simhash.wide_fingerprint(s)
+    for number, bits in enumerate(wide.tolist()):
+        hashes = s if not number else s * simhash._MIX[number - 1]
+        if number:
+            hashes = (hashes ^ hashes >> np.uint64(32)) * simhash._MIX[::-1][number - 1]
+            hashes ^= hashes >> np.uint64(29)
+        ones = [sum(h >> b & 1 for h in hashes.tolist()) for b in range(64)]
+        assert bits == sum(1 << b for b in range(64) if 2 * ones[b] > len(s))
+    assert not simhash.wide_fingerprint(s[:0]).any()
+
+
+@pytest.mark.parametrize("crowd", [4096, 20])
+def test_wide_groups_hold_every_pair_near_in_a_word(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "AT_ONCE", 8)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    r = random.Random(16)
+    base = [r.getrandbits(64) for _ in range(simhash.WIDE)]
+    wide = []
+    for _ in range(150):  # most in one crowd, with negative numbers
+        w = [x ^ sum(1 << p for p in r.sample(range(64), r.randint(0, 5))) for x in base] if r.random() < 0.8 else [r.getrandbits(64) for _ in base]
+        wide.append([simhash._signed(x) for x in w])
+    bits = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    word = lambda w, k: (w[k // 2] >> 32 * (k % 2)) & 0xFFFFFFFF
+    root = [k // 3 for k in range(150)]
+    df = spark.createDataFrame([(k, root[k], w) for k, w in enumerate(wide)], "fp long, root long, wide array<long>")
+    groups = {}
+    for g, fp in simhash.wide_groups(df, range(1, 4)).collect():
+        groups.setdefault(g, set()).add(fp)
+    pairs = 0
+    for a in range(150):
+        for b in range(a):
+            near = sum(bits(wide[a][i], wide[b][i]) for i in (0, 1)) <= simhash.CANDIDATE_BITS
+            if root[a] != root[b] and near and any((word(wide[a], k) ^ word(wide[b], k)).bit_count() <= 3 for k in range(1, 4)):
+                pairs += 1
+                assert any({a, b} <= g for g in groups.values())
+    assert pairs > 1000
+
+
+def test_groups_go_on_in_the_next_batch():
+    r = np.random.default_rng(17)
+    key = np.sort(r.integers(0, 40, 300))
+    w = r.integers(-(2**62), 2**62, 40)[key]
+    rows = {"key": key, "fp": r.permutation(300), "root": np.arange(300), "w0": w, "w1": w}
+    want = {tuple(sorted(rows["fp"][key == k].tolist())) for k in set(key.tolist()) if (key == k).sum() > 1}
+    for size in (1, 7, 300):
+        found = {}
+        for batch in simhash._grouped(iter(pa.table(rows).combine_chunks().to_batches(max_chunksize=size))):
+            for g, fp in zip(batch.column("g").to_pylist(), batch.column("fp").to_pylist()):
+                found.setdefault(g, []).append(fp)
+        assert {tuple(f) for f in found.values()} == want
+
+
+def test_near_copies_at_the_least_similarity(spark):
+    # each pair shares 8 of 9 parts of its shingles: a similarity of 0.8, some 97 of 640 bits
+    r = random.Random(18)
+    rows = []
+    for k in range(300):
+        base = words(r, 94).split(" ")
+        rows += [(2 * k, " ".join(f"{w}{k}" for w in base)), (2 * k + 1, " ".join([*(f"{w}{k}" for w in base[:-10]), *(f"new{k}x{i}" for i in range(10))]))]
+    sets = [near_copies.shingle_set(t) for _, t in rows]
+    assert all(len(np.intersect1d(a, b)) == 80 and len(a) == len(b) == 90 for a, b in zip(sets[::2], sets[1::2]))
+    assert sorted(x["component_id"] for x in near_copies.near_groups(table(spark, rows)).collect()) == sorted([2 * k for k in range(300)] * 2)
+
+
+def test_the_stage_searches_simhash(spark, monkeypatch):
+    import corpus_pipeline
+
+    base = words(random.Random(13), 200).split(" ")
+    docs = table(spark, [(0, " ".join(base)), (1, " ".join([*base[:20], "changed", *base[21:]]))])
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 1
+    monkeypatch.setattr(near_copies, "wide_groups", lambda fps, words: fps.selectExpr("fp as g", "fp").where("false"))
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 2
+
+
 # ---- licenses
 
 
