@@ -1,17 +1,18 @@
 """Near copies by the Jaccard similarity of word shingles: SimHash finds candidates, exact similarity decides.
 
 Sets of shingle hashes have wide SimHash fingerprints, which :func:`lexaline.llm.simhash.wide_groups` searches with covering masks,
-word by word; copies of one set are one text. A group of texts that share a bucket and differ in few bits is compared on
-whole sets of shingle hashes, groups with one list of members once. The first word's links are made
-components before the others are searched, and these bring together only texts of different components, so many copies of
-one text are compared for one word and not for all. In a group of more than ``BUCKET_SHINGLES`` every text is first
-compared with one of them, its leader. Texts that are linked to the leader are one part already, so only pairs with a text that
-isn't are left: blocks of such texts are compared with all blocks of the group, and no task holds more than two blocks.
+word by word; copies of one set are one text. Groups of texts that share a bucket and differ in few bits are joined to
+classes, and later words bring together only texts of different classes. At the end each class is compared once on whole
+sets of shingle hashes, so a set moves once and not with each group of each word. In a class of more than
+``BUCKET_SHINGLES`` every text is first compared with one of them, its leader. Texts that are linked to the leader are one part
+already, so only pairs with a text that isn't are left: blocks of such texts are compared with all blocks of the class, and
+no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ from lexaline.llm.storage import forget, materialize
 WIDTH = 5
 SIMILARITY = 0.8
 BUCKET_SHINGLES = 200_000
-#: Words of the fingerprints that are searched in one job, in each round; a round's links are made components before the next.
-ROUNDS = ((range(0, 1),), (range(1, 4), *(range(w, w + 4) for w in range(4, 2 * WIDE, 4))))
+#: Words of the fingerprints that are searched in one job, in each round; a round's groups are made classes before the next.
+ROUNDS = ((range(0, 1),), (range(1, 3),), tuple(range(w, min(w + 2, 2 * WIDE)) for w in range(3, 2 * WIDE, 2)))
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -126,25 +127,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # a set of n is similar to no other one if n / (n + 1) is too little
     searched = first.where(F.col("n") >= similarity * (F.col("n") + 1) - 1e-9).select("fp", "wide")
-    sets = edges = roots = None
+    classes = None
     for words in ROUNDS:
-        rooted = searched.withColumn("root", F.col("fp")) if roots is None else _with_roots(searched, roots)
-        members = None
-        for some in words:
-            found = materialize(wide_groups(rooted, some), "copies-members")
-            members = found if members is None else members.unionByName(found)
-        needed = members.select("fp").distinct() if sets is None else members.select("fp").distinct().join(sets.select("fp"), "fp", "left_anti")
-        needed = materialize(first.join(needed, "fp", "left_semi").select("fp", F.col("one.tie").alias("_tie"), F.col("one.id").alias("_id")), "copies-needed")
-        # one text of each set; repeated rows still come more than once
-        of_set = texts.join(needed, (F.col("tie") == F.col("_tie")) & F.col("id").eqNullSafe(F.col("_id"))).select("fp", "text").mapInPandas(lambda b: _with_shingles(b, width), "fp bigint, shingles array<bigint>")
-        new_sets = materialize(of_set.dropDuplicates(["fp"]), "copies-sets")
-        sets = new_sets if sets is None else sets.unionByName(new_sets)
-        found = materialize(_edges(members.distinct().join(first.select("fp", "n"), "fp"), sets, similarity), "copies-edges")
-        edges = found if edges is None else edges.unionByName(found)
-        before, roots = roots, materialize(connected_components(edges), "copies-roots")
-        for done in (members, needed, *([before] if before is not None else [])):
+        rooted = searched.withColumn("root", F.col("fp")) if classes is None else _with_roots(searched, classes)
+        jobs = [materialize(wide_groups(rooted, some), "copies-groups") for some in words]
+        # a group is a node beside its texts; were its hash that of a text, that one would only be one more candidate
+        joined = [df.select(F.col("fp").alias("a"), F.col("g").alias("b")) for df in jobs]
+        if classes is not None:
+            joined.append(classes.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        before, classes = classes, materialize(connected_components(reduce(DataFrame.unionByName, joined)), "copies-classes")
+        for done in (*jobs, *([before] if before is not None else [])):
             forget(docs.sparkSession, done)
 
+    members = materialize(first.join(classes.select(F.col("node").alias("fp"), F.col("root").alias("g")), "fp").select("g", "fp", "n", F.col("one.tie").alias("_tie"), F.col("one.id").alias("_id")), "copies-members")
+    # one text of each set; repeated rows still come more than once
+    of_set = texts.join(members.select("fp", "_tie", "_id"), (F.col("tie") == F.col("_tie")) & F.col("id").eqNullSafe(F.col("_id"))).select("fp", "text").mapInPandas(lambda b: _with_shingles(b, width), "fp bigint, shingles array<bigint>")
+    sets = materialize(of_set.dropDuplicates(["fp"]), "copies-sets")
+    edges = _edges(members.select("g", "fp", "n"), sets, similarity)
+    roots = materialize(connected_components(edges), "copies-roots")
+    for done in (classes, sets):
+        forget(docs.sparkSession, done)
+
     rooted = first.select("fp", "first_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")

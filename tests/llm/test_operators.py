@@ -248,6 +248,41 @@ def test_groups_go_on_in_the_next_batch():
         assert {tuple(f) for f in found.values()} == want
 
 
+def test_groups_end_at_texts_that_differ_beyond_two_numbers(monkeypatch):
+    r = np.random.default_rng(21)
+    for crowd in (4096, 80):  # 100 texts with one key, all near in two numbers and 50 of them in the others
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        numbers = r.integers(-(2**63), 2**63, (simhash.CHECKED, 100))
+        for k in range(100):
+            numbers[:2, k] = numbers[:2, 0] ^ np.array([sum(1 << int(p) for p in r.permutation(63)[:10]) for _ in range(2)])
+        numbers[2:, 50:] = numbers[2:, 50:51] ^ 1 << r.integers(0, 60, (simhash.CHECKED - 2, 50))
+        groups = simhash.bucket_groups(np.zeros(100, np.int64), np.arange(100), np.arange(100), *numbers)
+        assert [g.tolist() for g in groups] == [list(range(50, 100))]
+
+
+def test_each_set_is_compared_in_one_class(spark, monkeypatch):
+    r = random.Random(20)
+    base = words(r, 200).split(" ")
+    rows = []
+    for k in range(60):  # most pairs share buckets and are not similar
+        w = list(base)
+        for at in r.sample(range(0, 200, 10), 5):
+            w[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(w)))
+    seen = []
+
+    def spied(members, sets, similarity, edges=near_copies._edges):
+        seen.append((members.count(), members.select("fp").distinct().count(), sets.count()))
+        return edges(members, sets, similarity)
+
+    monkeypatch.setattr(near_copies, "_edges", spied)
+    want = slow_copies(rows)
+    got = near_copies.near_groups(table(spark, rows)).collect()
+    assert {(g["doc_id"], g["component_id"]) for g in got} == {(i, want[i]) for i, _ in rows}
+    (moved, texts_, sets_), *more = seen
+    assert not more and moved == texts_ == sets_ > 50
+
+
 def test_near_copies_at_the_least_similarity(spark):
     # each pair shares 8 of 9 parts of its shingles: a similarity of 0.8, some 97 of 640 bits
     r = random.Random(18)
