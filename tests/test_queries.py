@@ -91,6 +91,15 @@ def test_greedy_forest_splits_a_skewed_feature(spark):
     assert means[2.0] > 7 and abs(means[0.0]) < 1 and abs(means[1.0]) < 1
 
 
+def test_greedy_forest_with_a_feature_of_many_values(spark, monkeypatch):
+    from lexaline.models import greedy_forest
+
+    monkeypatch.setattr(greedy_forest, "MAX_DISTINCT", 20)
+    df = spark.createDataFrame([(i, i % 5, float(i > 60)) for i in range(100)], "x int, z int, y double")
+    forest = greedy_forest.fit(df, ["x", "z"], "y", max_leaves=3, n_bins=10)
+    assert len(forest.leaves) == 3 and {f for leaf in forest.leaves for f, _, _ in leaf.path} == {"x"}
+
+
 def test_svd_by_brute_force(spark):
     import numpy as np
 
