@@ -59,3 +59,12 @@ def test_best_trials(spark):
     rows = [(0.5, "ok", "m", {"a": "1"}, ["x"]), (0.4, "fail", "m", {"a": "2"}, ["y"]), (float("nan"), "ok", "m", {}, ["z"]), (0.5, "ok", "m", {"a": "3"}, ["a"]), (1.0, "ok", "k", {}, [])]
     got = {r["model"]: (r["loss"], r["features"]) for r in P.best_trials(spark.createDataFrame(rows, P.TRIAL)).collect()}
     assert got == {"m": (0.5, ["a"]), "k": (1.0, [])}
+
+
+def test_dictionary_keeps_pairs_of_equal_keys(spark, monkeypatch):
+    rows = [("a", "1"), ("a", "2"), ("a", "2"), ("b {", 'x "y"\n{z'), ("c", None), *((f"k{i}", str(i)) for i in range(40))]
+    for pairs in (10_000, 2):
+        monkeypatch.setattr(P, "OBJECT_PAIRS", pairs)
+        path = P.scratch(spark, "dictionary")
+        P.write_dictionary(spark.createDataFrame(rows, "k string, v string"), path, "k", "v")
+        assert sorted(tuple(r) for r in P.read_dictionary(spark, path).collect()) == sorted((k, v or "") for k, v in rows)
