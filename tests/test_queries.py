@@ -100,6 +100,14 @@ def test_greedy_forest_with_a_feature_of_many_values(spark, monkeypatch):
     assert len(forest.leaves) == 3 and {f for leaf in forest.leaves for f, _, _ in leaf.path} == {"x"}
 
 
+def test_measure_cases_normalise_a_text_once(spark):
+    plan = QUERIES["tm_measure_cases"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1
+    rows = [("", ""), ("", "1in."), ("1in.", None), ("1in.", "2in."), ("1in. 2in.", "2in.")]
+    got = spark.createDataFrame(rows, "a string, b string").select(registry.measure_cases(F.col("a"), F.col("b")).alias("c")).collect()
+    assert [tuple(r["c"]) for r in got] == [tuple(k == i for k in range(5)) for i in range(5)]
+
+
 def test_svd_by_brute_force(spark):
     import numpy as np
 
