@@ -108,6 +108,39 @@ def test_measure_cases_normalise_a_text_once(spark):
     assert [tuple(r["c"]) for r in got] == [tuple(k == i for k in range(5)) for i in range(5)]
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_cosines_move_known_terms_only(spark, monkeypatch, repeated):
+    from lexaline.operators import corpus as C
+
+    monkeypatch.setattr(C, "COUNTED_ROWS", 3)
+    monkeypatch.setattr(C, "SUMMED", 8)
+    r = random.Random(7)
+    words = "red bolt Big saw steel\u00a0x 日本".split(" ")
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 5))), "\t".join(r.choices([*words, f"rare{i}"], k=r.randint(0, 9)))) for i in range(30)] + [(40, None, "red"), (41, "red  bolt", "red bolt")]
+    df = spark.createDataFrame(rows + rows[:2] * repeated, "id bigint, a string, b string")
+    weights = C.idf(df, "a")
+    got = {x["id"]: x["dist"] for x in C.cosine_distance(df, "id", "a", "b", weights).collect()}
+    merged = {x["id"]: x for x in C._merged_products(df, "id", "a", "b", weights, 2).collect()}
+    assert len(got) == 32 and got[41] == pytest.approx(0)
+    for i, dist in got.items():
+        size = math.sqrt(merged[i]["xx"] * merged[i]["yy"]) if i in merged else 0
+        assert dist == pytest.approx(1 - merged[i]["xy"] / size if size else 1)
+    if not repeated:
+        known = C._known_terms(weights)
+        moved = {x["term"] for x in C._postings(df, "id", ("a", "b"), known, 2).collect()}
+        assert {x["term"] for x in weights.collect()} >= {"red", "red bolt"} & moved and sum("rare" in t for t in moved) < 5
+
+
+def test_noun_matches_move_no_texts(spark):
+    from lexaline.operators import corpus as C
+
+    df = spark.createDataFrame([(1, "big saw", "saw lamp bolt"), (1, "lamp", "saw lamp bolt"), (2, None, "saw"), (3, "x", "")], "id int, a string, b string")
+    out = C.top_noun_matches(df, "id", "a", "b", C.idf(df, "b", 1, 1), 2)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0), (1, 1), (2, 0), (3, 0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "md5" in plan
+
+
 def test_svd_by_brute_force(spark):
     import numpy as np
 
